@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup
+from . import exact_dedup, minhash_dedup
 from .common import table
 
 
@@ -14,8 +14,13 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.minhash_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_minhash_dedup": op4_minhash_dedup,
 }
 
 SQL = {
