@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, minhash_dedup
+from . import bpe, exact_dedup, minhash_dedup, mixing, toxicity
 from .common import table
 
 
@@ -18,9 +18,33 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.minhash_components(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = mixing.mixture(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.bpe_encode(table(spark, sf_dir, "documents"), *bpe_files(), with_ids=False)
+
+
+def bpe_files() -> tuple[str, str]:
+    """The rank file and the pattern of the contract; both are parameters of the operator."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_minhash_dedup": op4_minhash_dedup,
+    "op5_toxicity": op5_toxicity,
+    "op8_mix_sources": op8_mix_sources,
+    "op10_bpe": op10_bpe,
 }
 
 SQL = {
