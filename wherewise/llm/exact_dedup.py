@@ -42,7 +42,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     key = ["norm_length", "prefix_hash", "sha"]
     first = F.struct(-F.col("n"), F.col("doc_id").isNull(), F.col("doc_id"))
-    groups = rows.where("open").groupBy(*key).agg(F.count("*").alias("rows"), F.min(first)["doc_id"].alias("keep")).where("rows > 1")
+    # as a table of its own, both sides of the join are plain exchanges, and the adaptive planner can split a large group of copies
+    groups = cut(rows.where("open").groupBy(*key).agg(F.count("*").alias("rows"), F.min(first)["doc_id"].alias("keep")).where("rows > 1"), "dedup-groups")
     joined = rows.alias("r").join(groups.alias("g"), key, "left")
     size = F.coalesce("rows", F.lit(1).cast("long"))
     keep = F.when(F.col("rows").isNull(), F.col("doc_id")).otherwise(F.col("keep"))
