@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, minhash_dedup, mixing, toxicity
+from . import bpe, exact_dedup, minhash_dedup, mixing, pii, toxicity
 from .common import table
+from .spans import joined, ordered
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_private(table(spark, sf_dir, "documents"))
+    spans = ordered(F.concat("base", "terms"), (*pii.KINDS, "term"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(spans).alias("spans"))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +47,7 @@ def bpe_files() -> tuple[str, str]:
 
 
 QUERIES = {
+    "op2_pii": op2_pii,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_toxicity": op5_toxicity,
