@@ -41,6 +41,8 @@ PERCENT = 85
 SIGNATURE_FLOOR = 44
 #: Most members of a block in the exact comparison between components.
 BLOCK = 384
+#: Ids whose texts are read again are broadcast up to this many (8 bytes each), and beyond it joined by shuffle.
+BROADCAST_IDS = 1_000_000
 #: Links of a hot centre are confirmed in groups of about so many.
 GROUP = 256
 
@@ -169,7 +171,10 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def with_sets(ids: DataFrame) -> DataFrame:
         """(doc_id, shingles) of the given class representatives; texts are read again, as shingles take more room than words."""
-        return cut(text.join(ids.distinct(), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary"), "minhash-sets").dropDuplicates(["doc_id", "shingles"])
+        ids = cut(ids.distinct(), "minhash-ids")
+        if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:  # then the texts need no shuffle
+            ids = F.broadcast(ids)
+        return cut(text.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary"), "minhash-sets").dropDuplicates(["doc_id", "shingles"])
 
     # signature verification of bucket members against the bucket's centre
     pairs = full.where("doc_id <> centre").select("centre", "doc_id").distinct()
@@ -189,7 +194,11 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     label = full.join(first.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     parts = label.groupBy("band", "key", "component").agg(F.count("*").alias("m"))
     open_ = parts.groupBy("band", "key").agg(F.count("*").alias("parts"), F.sum("m").alias("n"), F.max_by("component", F.struct("m", "component")).alias("main")).where("parts > 1 and n > 2")
-    left = cut(label.select("band", "key", "doc_id", "component").join(open_, ["band", "key"]), "minhash-open")
+    left = label.select("band", "key", "doc_id", "component").join(open_, ["band", "key"])
+    # the same members often share several buckets: one of them is enough
+    same = left.groupBy("band", "key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("x"), F.sum(F.xxhash64("doc_id", F.lit(1)).cast("decimal(20,0)")).alias("y"))
+    one = same.groupBy("n", "x", "y").agg(F.min(F.struct("band", "key")).alias("b")).select("b.band", "b.key")
+    left = cut(left.join(one, ["band", "key"], "left_semi"), "minhash-open")
     blocks = _blocks(left)
     sets2 = with_sets(left.select("doc_id"))
     more = blocks.join(sets2, "doc_id").groupBy("band", "key", "i", "j").applyInPandas(_confirm_block, "a long, b long")
