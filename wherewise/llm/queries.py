@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, minhash_dedup, mixing, pii, toxicity
+from . import bpe, exact_dedup, minhash_dedup, mixing, pii, secrets, toxicity
 from .common import table
 from .spans import joined, ordered
 
@@ -35,6 +35,12 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    spans = ordered(F.concat("base", "entropy"), (*secrets.KINDS, "entropy"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(spans).alias("spans"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_encode(table(spark, sf_dir, "documents"), *bpe_files(), with_ids=False)
 
@@ -52,6 +58,7 @@ QUERIES = {
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_toxicity": op5_toxicity,
     "op8_mix_sources": op8_mix_sources,
+    "op9_secrets": op9_secrets,
     "op10_bpe": op10_bpe,
 }
 
