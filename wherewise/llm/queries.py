@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, minhash_dedup, mixing, pii, secrets, toxicity
+from . import bpe, exact_dedup, line_dedup, minhash_dedup, mixing, pii, secrets, spotsigs, toxicity
 from .common import table
 from .spans import joined, ordered
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_private(table(spark, sf_dir, "documents"))
     spans = ordered(F.concat("base", "terms"), (*pii.KINDS, "term"))
@@ -30,6 +34,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = mixing.mixture(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", "taken")
@@ -53,10 +61,12 @@ def bpe_files() -> tuple[str, str]:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_pii": op2_pii,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_toxicity": op5_toxicity,
+    "op7_spotsigs": op7_spotsigs,
     "op8_mix_sources": op8_mix_sources,
     "op9_secrets": op9_secrets,
     "op10_bpe": op10_bpe,

@@ -38,11 +38,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts in a row, and the number of words in each text."""
+def word_hashes(texts: list[bytes], split: np.ndarray = _blank) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in a row, and the number of words in each text. split: by byte whether it ends a word (a line feed must)."""
     data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
     ends = np.cumsum([len(t) + 1 for t in texts])
-    blank = _blank[data]
+    blank = split[data]
     edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
     start, stop = edge[blank[edge - 1]], edge[blank[edge]]
     if len(data) and not blank[0]:
