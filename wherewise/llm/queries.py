@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, minhash_dedup, mixing, pii, secrets, spotsigs, toxicity
-from .common import table
+from . import bpe, exact_dedup, line_dedup, minhash_dedup, mixing, pii, secrets, spotsigs, toxicity, warc
+from .common import fresh_path, table
 from .spans import joined, ordered
 
 
@@ -34,6 +34,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uri = fresh_path(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages"), uri)
+    return warc.read_warc(spark, uri, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -66,6 +72,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_toxicity": op5_toxicity,
+    "op6_warc": op6_warc,
     "op7_spotsigs": op7_spotsigs,
     "op8_mix_sources": op8_mix_sources,
     "op9_secrets": op9_secrets,
@@ -73,6 +80,11 @@ QUERIES = {
 }
 
 SQL = {
+    "op6_warc": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+k AS (SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest, max(page_id) OVER (PARTITION BY h) AS original FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> original THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> original THEN original END AS refers_to FROM k""",
     "op3_exact_dedup": r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents),
 k AS (SELECT doc_id, sha256(t) AS text_sha256,
