@@ -227,3 +227,12 @@ def _blocks(left: DataFrame) -> DataFrame:
     others = F.when(F.col("own") < F.col("u"), F.sequence(F.lit(0), F.col("u") + F.col("v") - 1)).otherwise(F.sequence(F.lit(0), F.col("u") - 1))
     x = x.select("band", "key", "doc_id", "component", "own", F.explode(others).alias("other"))
     return x.select("band", "key", "doc_id", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+
+def near_dedup_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay, with the columns of docs: of each component the document with the smallest id. Rows with a null id stay."""
+    gone = minhash_components(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = cut(gone, "minhash-gone")
+    if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")

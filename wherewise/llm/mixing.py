@@ -18,10 +18,12 @@ The number of sources, unlike that of documents, is assumed to fit one task.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,3 +164,48 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     taken = pieces.groupBy("place", "start").agg(F.sum(F.col("n_words") * F.col("passes")).alias("taken"))
     full = rows.where("size > 0").join(taken, ["place", "start"], "left").unionByName(rows.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
     return full.select("doc_id", "row_key", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken")), pieces.select("doc_id", "row_key", "from_word", "n_words", "passes")
+
+
+_word = re.compile("[^ \t\n\x0b\x0c\r]+")
+
+
+def taken_text(text: str, ranges: list[tuple[int, int]]) -> str:
+    """The words of a text in ranges (first, end) of word numbers, as they stand; ranges apart from each other by a line feed."""
+    at = [(m.start(), m.end()) for m in _word.finditer(text)]
+    return "\n".join(text[at[a][0] : at[b - 1][1]] for a, b in ranges)
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str | None = "n_chars", **parameters) -> DataFrame:
+    """The mix as documents, with the columns of docs: for each document and pass a row with those of its words that the pass takes.
+
+    Rows that repeat id and text alike are taken as often as the blocks of all of them; length_col, if there is one, is computed anew.
+    """
+    _, pieces = mixture(docs, id_col, text_col, source_col, **parameters)
+    flat = pieces.select("doc_id", "row_key", "from_word", "n_words", F.explode(F.sequence(F.lit(1).cast("long"), F.col("passes"))).alias("pass"))
+    lists = cut(flat.groupBy("doc_id", "row_key", "pass").agg(F.array_sort(F.collect_list(F.struct("from_word", "n_words"))).alias("__ranges")), "mix-lists")
+    lists = lists.select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key"), "__ranges")
+    keyed = docs.withColumn("__row", F.xxhash64(text_of(F.col(text_col))))
+    wide = keyed.join(lists, keyed[id_col].eqNullSafe(lists["__id"]) & (keyed["__row"] == lists["__key"])).select(*[docs[c] for c in docs.columns], "__ranges")
+    names, at = docs.columns, docs.columns.index(text_col)
+    length = names.index(length_col) if length_col in names else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                texts = []
+                for text, ranges in zip(part.column(at).to_pylist(), part.column(len(names)).to_pylist(), strict=True):
+                    joined: list[list[int]] = []
+                    for r in ranges:
+                        if joined and joined[-1][1] == r["from_word"]:
+                            joined[-1][1] += r["n_words"]
+                        else:
+                            joined.append([r["from_word"], r["from_word"] + r["n_words"]])
+                    texts.append(taken_text(text, joined))
+                columns = [part.column(i) for i in range(len(names))]
+                columns[at] = pa.array(texts, columns[at].type)
+                if length is not None:
+                    columns[length] = pa.array([len(t) for t in texts], columns[length].type)
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return wide.mapInArrow(run, docs.schema)
