@@ -1,0 +1,73 @@
+"""Thresholds of the relations. Defaults are fixed values; a sweep replaces them by columns of a table of trials."""
+
+from __future__ import annotations
+
+from dataclasses import asdict, dataclass, fields
+
+
+@dataclass(frozen=True)
+class Config:
+    # fixed values: projective
+    cone_half_angle_deg: float = 55.0
+    cone_full_credit_deg: float = 25.0
+    lateral_separation_full: float = 0.75
+    lateral_separation_zero: float = 0.05
+    depth_overlap_slack: float = 0.45
+    height_band: float = 1.10
+    height_band_hard: float = 2.20
+    proximity_full_factor: float = 1.5
+    proximity_zero_factor: float = 5.0
+    proximity_floor: float = 0.30
+    proximity_cutoff_factor: float = 8.0
+    w_cone: float = 1.0
+    w_separation: float = 0.9
+    w_depth: float = 0.7
+    w_height: float = 0.35
+    w_proximity: float = 0.35
+    # vertical
+    contact_tol: float = 0.08
+    contact_tol_predicted: float = 0.15
+    support_min_overlap: float = 0.35
+    above_min_overlap: float = 0.20
+    above_gap_zero: float = 2.50
+    containment_pad: float = 0.05
+    containment_min_fraction: float = 0.60
+    # proximity
+    near_base: float = 0.30
+    near_size_factor: float = 0.60
+    near_zero_multiplier: float = 3.0
+    beside_height_tol: float = 0.35
+    between_corridor: float = 0.70
+    between_span_lo: float = 0.12
+    between_span_hi: float = 0.88
+    # ordinal and comparative
+    ordinal_min_spread: float = 1.4
+    ordinal_min_gap: float = 0.06
+    ordinal_gap_ratio: float = 0.35
+    comparative_full: float = 1.25
+
+    @staticmethod
+    def load(path: str | None = None) -> Config:
+        """From a YAML file of sections of name: number lines; an unknown name is an error, a missing file gives the defaults."""
+        import os
+
+        if not path or not os.path.exists(path):
+            return Config()
+        known = {f.name for f in fields(Config)}
+        found: dict[str, float] = {}
+        for line in open(path):
+            body = line.split("#", 1)[0].rstrip()
+            if not body.strip() or body.endswith(":"):
+                continue
+            name, _, value = body.strip().partition(":")
+            if name not in known:
+                raise KeyError(f"unknown threshold {name!r}")
+            found[name] = float(value)
+        return Config(**(asdict(Config()) | found))
+
+
+CFG = Config()
+# fixed values of the resolver, the flags and the policy
+MIN_LABEL_MATCH, MAX_ANCHORS, MIN_ANSWER, PRIOR_RATIO = 0.55, 6, 0.12, 0.30
+TIE_ABSOLUTE, TIE_RELATIVE, WORLD_MARGIN = 0.04, 0.08, 0.12
+EYE_HEIGHT, MIN_FRONT_CONFIDENCE, MIN_USABLE_CONFIDENCE = 1.55, 0.25, 0.15
