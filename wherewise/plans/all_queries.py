@@ -1,4 +1,4 @@
 """Imports all modules that register queries."""
 
-from . import q_relations, q_resolver  # noqa: F401
+from . import q_relations, q_resolver, q_text  # noqa: F401
 from .catalog import QUERIES, SQL  # noqa: F401

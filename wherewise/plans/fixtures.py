@@ -10,6 +10,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions import vocabulary as V
+
 #: By name the defining query; they refer to each other and to the driver's tables.
 TABLES = {
     "fx_objects": """
@@ -72,6 +74,23 @@ FROM lineitem""",
 SELECT DISTINCT l_orderkey*8+l_linenumber AS vertex, l_orderkey % 40 AS gt_id, (l_orderkey+CASE WHEN l_partkey % 4 = 0 THEN 1 ELSE 0 END) % 50 AS pred_id FROM lineitem""",
 }
 
+
+
+def values(rows: list[tuple]) -> str:
+    """Rows as SQL VALUES."""
+    show = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, bool) else f"CAST({v!r} AS DOUBLE)" if isinstance(v, float) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return "(VALUES " + ", ".join("(" + ", ".join(map(show, r)) + ")" for r in rows) + ")"
+
+
+def _raw_labels() -> str:
+    """Labels as they may be written: every known name in turn, in one of seven ways."""
+    names = [*V.categories(), *V.synonyms()]
+    ways = "CASE p_partkey % 7 WHEN 0 THEN upper(n.name) WHEN 1 THEN replace(n.name, ' ', '_') WHEN 2 THEN concat(n.name, 's') WHEN 3 THEN concat(n.name, '/other') WHEN 4 THEN concat('the ', n.name) WHEN 5 THEN concat('big ', n.name) ELSE concat(n.name, '!') END"
+    return f"SELECT p_partkey AS k, {ways} AS raw FROM part JOIN {values(list(enumerate(names)))} AS n(i, name) ON n.i = p_partkey % {len(names)}"
+
+
+TABLES["fx_raw_labels"] = _raw_labels()
+
 SOURCES = ("part", "orders", "lineitem", "customer", "supplier", "nation", "region", "events", "labels", "embeddings", "documents", "conversations", "pages", "benchmark")
 
 
