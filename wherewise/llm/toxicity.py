@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Most labelled documents for training, and the longest of them in characters.
-SAMPLE, LONGEST = 8000, 60_000
+SAMPLE, LONGEST = 6000, 60_000
 #: Bytes of the dictionaries; compression level.
 TOXIC_BYTES, ORDINARY_BYTES, LEVEL = 8192, 110_000, 6
 #: When a word is typical of toxic documents.
@@ -44,7 +44,7 @@ PRIOR = 4.0
 #: Least share of toxic documents of a telling triple.
 TELLING = 0.3
 #: Words that a worker remembers.
-MEMO = 400_000
+MEMO = 200_000
 
 #: Bytes that occur in no UTF-8 text in this order; the frame behind each window.
 FRAME = bytes(range(128, 192))
@@ -69,6 +69,7 @@ class Model:
 
     def __post_init__(self):
         self._open = None
+        self._known: dict[tuple[Lengths, ...], tuple[Lengths, ...]] = {}
         self._memo: dict[str, Lengths | None] = {}
 
     def __getstate__(self):
@@ -89,13 +90,15 @@ class Model:
         b = f" {window} ".encode("utf-8", "replace") + FRAME
         return len(b) - len(FRAME), len(self._open[0].compress(b)), len(self._open[1].compress(b))
 
-    def triples(self, word: str) -> set[Lengths]:
+    def triples(self, word: str) -> tuple[Lengths, ...]:
         if len(word) <= WINDOW:
-            return {self.lengths(word)}
-        half = WINDOW // 2
-        return {self.lengths(word[i : i + WINDOW]) for i in range(0, len(word) - half, half)}
+            out: tuple[Lengths, ...] = (self.lengths(word),)
+        else:
+            half = WINDOW // 2
+            out = tuple({self.lengths(word[i : i + WINDOW]) for i in range(0, len(word) - half, half)})
+        return self._known.setdefault(out, out)  # few differ; each is held once
 
-    def best(self, triples: set[Lengths]) -> Lengths | None:
+    def best(self, triples: tuple[Lengths, ...]) -> Lengths | None:
         return max((p for p in triples if p in self.share), key=lambda p: (self.share[p], p), default=None)
 
     def verdict(self, found: list[Lengths]) -> float:
@@ -144,21 +147,25 @@ def _dictionaries(toxic: list[list[str]], ordinary: list[list[str]]) -> tuple[by
 
 
 def train(rows: list[tuple[str, int]]) -> Model:
-    """rows: (text, 1 if toxic else 0), in an order that doesn't depend on the run."""
+    """rows: (text, 1 if toxic else 0), in an order that doesn't depend on the run; they are used up, to hold texts once only."""
     seen: dict[str, int] = {}
     for text, label in rows:
         seen.setdefault(text, label)
+    rows.clear()
     docs = {1: [], 0: []}
-    for text, label in seen.items():
-        docs[1 if label else 0].append(_word.findall(text.lower()))
+    known: dict[str, str] = {}  # each word once in memory
+    while seen:
+        text, label = seen.popitem()
+        docs[1 if label else 0].append([known.setdefault(w, w) for w in _word.findall(text.lower())])
+    del known
     n1, n0 = len(docs[1]), len(docs[0])
     if min(n1, n0) < 2:
         return Model(base=n1 / max(1, n1 + n0))
     have: dict[Lengths, list[int]] = defaultdict(lambda: [0, 0])
-    held: list[tuple[int, list[set]]] = []
+    held: list[tuple[int, list[tuple]]] = []
     for fold in (0, 1):
         m = Model(*_dictionaries(docs[1][fold::2], docs[0][fold::2]))
-        memo: dict[str, set] = {}
+        memo: dict[str, tuple] = {}
         for label in (0, 1):
             for d in docs[label][1 - fold :: 2]:
                 own = [memo[w] if w in memo else memo.setdefault(w, m.triples(w)) for w in dict.fromkeys(d)]
@@ -190,7 +197,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Model()
     ids = F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in chosen], "__id long"))
     text = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).where(F.length("__text") <= LONGEST).join(ids, "__id", "left_semi")
-    return train(sorted(((r["__text"], chosen[r["__id"]]) for r in text.collect()), key=lambda x: (hash_text(x[0]), x[1])))
+    rows = [(t, chosen[i]) for i, t in zip(*(text.toArrow().column(c).to_pylist() for c in ("__id", "__text")), strict=True)]
+    rows.sort(key=lambda x: (hash_text(x[0]), x[1]))
+    return train(rows)
 
 
 def hash_text(text: str) -> bytes:
