@@ -33,7 +33,14 @@ def label_key(raw: Column) -> Column:
 
 
 def class_of(key: Column) -> Column:
-    """The class that a key from label_key names: itself, a synonym, a plural, or what its last word names; else the key."""
+    """The class that a key from label_key names: itself, a synonym, a plural, or what its last word names; else the key.
+
+    The key is bound once by a lambda: it is used a dozen times, and repeated it would outgrow a generated method.
+    """
+    return F.get(F.transform(F.array(key), _class_of), F.lit(0))
+
+
+def _class_of(key: Column) -> Column:
     names = _names()
     last = F.element_at(F.split(key, " "), -1)
     tail = lambda n: F.left(key, F.length(key) - n)

@@ -32,34 +32,31 @@ def room_scale() -> Column:
     return F.greatest(F.lit(1.0), F.sqrt(w * w + d * d + h * h))
 
 
-def axes(eye_x: Column, eye_y: Column) -> Column:
-    """Array of one struct per kind for rows with an anchor (a_*) and its room (forward_margin, axis_confidence; forward is +y):
+def with_axes(rows: DataFrame, eye_x: Column, eye_y: Column) -> DataFrame:
+    """Explodes rows with an anchor (a_*) and its room (forward_margin, axis_confidence; forward is +y) into one per kind of frame, adding
     kind, rx, ry, fx, fy, confidence, available, reason."""
     lx, ly = horizontal(F.col("a_cx") - eye_x, F.col("a_cy") - eye_y)
     gx, gy = horizontal(F.col("a_front_x"), F.col("a_front_y"))
-    looks = (lx != 0) | (ly != 0)
-    faces = F.col("a_front_x").isNotNull() & ((gx != 0) | (gy != 0))
+    rows = rows.withColumns({"lx": lx, "ly": ly, "gx": gx, "gy": gy})
+    lx, ly, gx, gy = (F.col(c) for c in ("lx", "ly", "gx", "gy"))
+    rows = rows.withColumns({"looks": (lx != 0) | (ly != 0), "faces": F.col("a_front_x").isNotNull() & ((gx != 0) | (gy != 0)), "sure": clip(F.least(F.col("forward_margin") / 0.30, F.col("axis_confidence")))})
     zero, one = F.lit(0.0), F.lit(1.0)
-    world = clip(F.least(F.col("forward_margin") / 0.30, F.col("axis_confidence")))
-
-    def frame(kind: str, rx: Column, ry: Column, fx: Column, fy: Column, confidence: Column, available: Column, reason: str) -> Column:
-        only = lambda c: F.when(available, c)
-        return F.struct(
-            F.lit(kind).alias("kind"), only(rx).alias("rx"), only(ry).alias("ry"), only(fx).alias("fx"), only(fy).alias("fy"),
-            F.when(available, confidence).otherwise(0.0).alias("confidence"), available.alias("available"), F.when(~available, F.lit(reason)).alias("reason"),
-        )
-
-    above = "the viewer is straight above or below the anchor"
-    faceless = "the anchor has no front"
     front = F.coalesce(F.col("a_front_confidence"), zero)
-    return F.array(
-        frame("egocentric", ly, -lx, -lx, -ly, one, looks, above),
-        frame("egocentric_bearing", ly, -lx, -lx, -ly, one, looks, above),
-        frame("egocentric_image", zero, zero, zero, zero, one, F.lit(False), "a bare position has no camera pose"),
-        frame("intrinsic", gy, -gx, gx, gy, front, faces, faceless),
-        frame("addressee", -gy, gx, gx, gy, front, faces, faceless),
-        frame("world", one, zero, zero, one, world, F.lit(True), ""),
-    )
+    above, faceless = "the viewer is straight above or below the anchor", "the anchor has no front"
+    kinds = {
+        "egocentric": (ly, -lx, -lx, -ly, one, F.col("looks"), above),
+        "egocentric_bearing": (ly, -lx, -lx, -ly, one, F.col("looks"), above),
+        "egocentric_image": (zero, zero, zero, zero, zero, F.lit(False), "a bare position has no camera pose"),
+        "intrinsic": (gy, -gx, gx, gy, front, F.col("faces"), faceless),
+        "addressee": (-gy, gx, gx, gy, front, F.col("faces"), faceless),
+        "world": (one, zero, zero, one, F.col("sure"), F.lit(True), ""),
+    }
+    names = ("rx", "ry", "fx", "fy", "confidence", "available", "reason")
+    every = F.array(*[F.struct(F.lit(k).alias("kind"), *[(F.lit(v) if isinstance(v, str) else v).alias(n) for n, v in zip(names, vs, strict=True)]) for k, vs in kinds.items()])
+    rows = rows.withColumn("frame", F.explode(every)).drop("lx", "ly", "gx", "gy", "looks", "faces", "sure")
+    there = F.col("frame.available")
+    only = {c: F.when(there, F.col(f"frame.{c}")) for c in ("rx", "ry", "fx", "fy")}
+    return rows.withColumns({"kind": F.col("frame.kind"), **only, "confidence": F.when(there, F.col("frame.confidence")).otherwise(0.0), "available": there, "reason": F.when(~there, F.col("frame.reason"))}).drop("frame")
 
 
 def prior_of(kind: Column, group: Column, front_confidence: Column, room_shell: Column, cue_weight: Column) -> Column:

@@ -23,12 +23,10 @@ def scored_pairs(queries: DataFrame, objects: DataFrame, rooms: DataFrame, frame
     anchors = a.withColumn("a_rank", F.row_number().over(by_class)).where(F.col("a_rank") <= MAX_ANCHORS)
     t = prefixed(objects, "t", ("scene_id",)).withColumnRenamed("t_label", "target")
     q = queries.select("query_id", "scene_id", "relation", "relation_type", "target", "anchor", "eye_x", "eye_y")
-    rows = q.join(anchors, ["scene_id", "anchor"]).join(t, ["scene_id", "target"])
-    rows = rows.join(rooms.select("scene_id", "forward_margin", "axis_confidence", frames.room_scale().alias("scale")), "scene_id")
+    rows = q.join(anchors, ["scene_id", "anchor"]).join(rooms.select("scene_id", "forward_margin", "axis_confidence", frames.room_scale().alias("scale")), "scene_id")
     # the viewpoint belongs to the query, so frames are read at each anchor but from one eye
-    kind = F.filter(frames.axes(F.col("eye_x"), F.col("eye_y")), lambda f: f["kind"] == frame)
-    rows = rows.withColumn("frame", F.get(kind, F.lit(0))).withColumns({c: F.col(f"frame.{c}") for c in ("rx", "ry", "fx", "fy")})
-    return score(rows)
+    rows = frames.with_axes(rows, F.col("eye_x"), F.col("eye_y")).where(F.col("kind") == frame).drop("kind")
+    return score(rows.join(t, ["scene_id", "target"]))
 
 
 def score(rows: DataFrame) -> DataFrame:
@@ -101,8 +99,7 @@ def framed_pairs(queries: DataFrame, objects: DataFrame, rooms: DataFrame, kinds
     anchors = a.withColumn("a_rank", F.row_number().over(Window.partitionBy("scene_id", "anchor").orderBy(volume.desc(), "a_id"))).where(F.col("a_rank") <= MAX_ANCHORS)
     q = queries.select("query_id", "scene_id", "relation", "relation_type", "target", "anchor", "eye_x", "eye_y")
     rows = q.join(anchors, ["scene_id", "anchor"]).join(rooms.select("scene_id", "forward_margin", "axis_confidence", frames.room_scale().alias("scale")), "scene_id")
-    rows = rows.withColumn("f", F.explode(F.filter(frames.axes(F.col("eye_x"), F.col("eye_y")), lambda f: f["kind"].isin(*kinds))))
-    rows = rows.select("*", "f.kind", "f.rx", "f.ry", "f.fx", "f.fy").drop("f")
+    rows = frames.with_axes(rows, F.col("eye_x"), F.col("eye_y")).where(F.col("kind").isin(*kinds))
     t = prefixed(objects, "t", ("scene_id",)).withColumnRenamed("t_label", "target")
     return score(rows.join(t, ["scene_id", "target"]))
 
@@ -143,7 +140,7 @@ def sweep(queries: DataFrame, objects: DataFrame, rooms: DataFrame, trials: int
     volume = F.col("a_hx") * F.col("a_hy") * F.col("a_hz")
     anchors = a.withColumn("a_rank", F.row_number().over(Window.partitionBy("scene_id", "anchor").orderBy(volume.desc(), "a_id"))).where(F.col("a_rank") <= MAX_ANCHORS)
     q = queries.select("query_id", "scene_id", "relation", "target", "anchor", "eye_x", "eye_y").join(anchors, ["scene_id", "anchor"]).join(rooms.select("scene_id", "forward_margin", "axis_confidence"), "scene_id")
-    f = q.withColumn("f", F.explode(F.filter(frames.axes(F.col("eye_x"), F.col("eye_y")), lambda f: f["kind"].isin("egocentric", "intrinsic") & f["available"]))).select("*", "f.kind", "f.rx", "f.ry", "f.fx", "f.fy").drop("f")
+    f = frames.with_axes(q, F.col("eye_x"), F.col("eye_y")).where(F.col("kind").isin("egocentric", "intrinsic") & F.col("available"))
     t = prefixed(objects, "t", ("scene_id",)).withColumnRenamed("t_label", "target")
     pairs = R.facing(R.with_frame_spans(f.join(t, ["scene_id", "target"]).where("t_id <> a_id")))
     terms = R.projective_terms()
