@@ -24,8 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces that a worker remembers; when full, all are forgotten (about 300 bytes each).
-MEMO = 400_000
+#: Pieces that a worker remembers (about 300 bytes each), and pairs of tokens (about 150); when full, all are forgotten.
+MEMO, PAIRS = 300_000, 100_000
 
 
 class Bpe:
@@ -73,6 +73,8 @@ class Bpe:
         """Whether merging leaves left and right side by side when their bytes follow each other."""
         known = self.fits.get((left, right))
         if known is None:
+            if len(self.fits) >= PAIRS:
+                self.fits.clear()
             known = self.fits[left, right] = self._compatible(left, right)
         return known
 

@@ -11,7 +11,7 @@ _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes of text that are worked on at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
