@@ -158,7 +158,8 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     covered = rows.where("size > 0").select("doc_id", "row_key", "place", "size", "start", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block"))
     low = F.greatest(F.col("start"), F.col("block") * block)
     high = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
-    pieces = covered.join(passes, ["place", "block"]).select("doc_id", "row_key", "place", "start", (low - F.col("start")).alias("from_word"), (high - low).alias("n_words"), "passes")
+    # the planner takes the drawn slots for as few as their shards and would broadcast them
+    pieces = covered.join(passes.hint("merge"), ["place", "block"]).select("doc_id", "row_key", "place", "start", (low - F.col("start")).alias("from_word"), (high - low).alias("n_words"), "passes")
     pieces = cut(pieces, "mix-pieces")
     # a document with words has a start of its own within its source
     taken = pieces.groupBy("place", "start").agg(F.sum(F.col("n_words") * F.col("passes")).alias("taken"))
