@@ -150,10 +150,15 @@ def sweep(queries: DataFrame, objects: DataFrame, rooms: DataFrame, trials: int
     cone = 1.0 - ramp(F.col("angle"), F.col("full"), F.col("half"))
     depth = F.when(F.col("side") <= 0, 1.0).otherwise(1.0 - ramp(F.col("side"), 0.0, F.col("slack")))
     value = gmean([cone, F.col("separation"), depth, F.col("height"), F.col("preference")], [CFG.w_cone, CFG.w_separation, CFG.w_depth, CFG.w_height, CFG.w_proximity]) * F.col("locality")
+    # no jitter lifts a pair above MIN_ANSWER that is beyond the widest cone, or too weak with a full cone and depth; such pairs stay out
+    # before trials multiply the rest
+    one = F.lit(1.0)
+    bound = gmean([one, F.col("separation"), one, F.col("height"), F.col("preference")], [CFG.w_cone, CFG.w_separation, CFG.w_depth, CFG.w_height, CFG.w_proximity]) * F.col("locality")
+    flat = flat.where((F.col("angle") < max(r[2] for r in rows)) & (bound >= MIN_ANSWER))
     top = flat.crossJoin(table).groupBy("trial", "query_id", "kind").agg(F.max(F.struct(value.alias("v"), (-F.col("t_id")).alias("o"))).alias("top"))
     answer = top.select("trial", "query_id", F.when(F.col("top.v") >= MIN_ANSWER, -F.col("top.o")).alias("answer"))
     split = answer.groupBy("trial", "query_id").agg((F.count_distinct("answer") >= 2).alias("split"))
-    rate = split.groupBy("trial").agg(F.avg(F.col("split").cast("double")).alias("rate"))
+    rate = split.groupBy("trial").agg(F.count_if("split").alias("n")).crossJoin(F.broadcast(queries.agg(F.count("*").alias("all")))).select("trial", (F.col("n") / F.col("all")).alias("rate"))
     jittered = F.when(F.col("trial") > 0, F.col("rate"))
     return rate.agg(
         F.max(F.when(F.col("trial") == 0, F.col("rate"))).alias("baseline"), F.percentile(jittered, 0.5).alias("median"), F.percentile(jittered, 0.1).alias("p10"), F.percentile(jittered, 0.9).alias("p90"), F.min(jittered).alias("least"), F.max(jittered).alias("most")

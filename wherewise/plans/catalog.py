@@ -19,6 +19,9 @@ def ready(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH", ""), root) if x)
+    # HotSpot interprets methods above 8000 bytes for ever; below that limit Spark splits long expressions into methods that it compiles
+    if spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "65535":
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
 
 
 def query(key: str, sql: str | None = None) -> Callable:
