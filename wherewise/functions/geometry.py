@@ -30,9 +30,9 @@ def gmean(values: list[Column], weights: list[float]) -> Column:
     return F.exp(total / float(sum(weights)))
 
 
-def r6(x: Column) -> Column:
+def r9(x: Column) -> Column:
     """Rounded as results are, without a negative zero."""
-    return F.round(x, 6) + 0.0
+    return F.round(x, 9) + 0.0
 
 
 @dataclass(frozen=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
-from ..functions.geometry import r6
+from ..functions.geometry import r9
 
 PAIR_OUTCOMES = ("no_answer", "frame_blind", "switched_correctly", "switched_incorrectly", "partial")
 
@@ -19,12 +19,12 @@ def binary(groups: GroupedData, gold: Column, pred: Column) -> DataFrame:
     n = groups.agg(F.count_if(gold & pred).alias("tp"), F.count_if(~gold & pred).alias("fp"), F.count_if(gold & ~pred).alias("fn"), F.count_if(~gold & ~pred).alias("tn"))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     f1 = F.when(tp > 0, 2.0 * tp / (2 * tp + fp + fn))
-    return n.withColumns({"precision": r6(F.try_divide(tp.cast("double"), tp + fp)), "recall": r6(F.try_divide(tp.cast("double"), tp + fn)), "f1": r6(f1)})
+    return n.withColumns({"precision": r9(F.try_divide(tp.cast("double"), tp + fp)), "recall": r9(F.try_divide(tp.cast("double"), tp + fn)), "f1": r9(f1)})
 
 
 def accuracy_cube(outcomes: DataFrame) -> DataFrame:
     axes = ["relation_type", "gold_frame", "difficulty", "scene_id"]
-    return outcomes.groupingSets([[], *[[F.col(a)] for a in axes]], *axes).agg(F.count("*").alias("n"), r6(F.avg(F.col("correct").cast("int"))).alias("accuracy"), F.median("elapsed_ms").alias("median_ms"))
+    return outcomes.groupingSets([[], *[[F.col(a)] for a in axes]], *axes).agg(F.count("*").alias("n"), r9(F.avg(F.col("correct").cast("int"))).alias("accuracy"), F.median("elapsed_ms").alias("median_ms"))
 
 
 def by_item(outcomes: DataFrame) -> DataFrame:

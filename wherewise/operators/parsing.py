@@ -35,6 +35,11 @@ def parsed(queries: DataFrame) -> DataFrame:
     return queries.join(once, "text")
 
 
+def with_parser(queries: DataFrame, parser, schema: str) -> DataFrame:
+    """As parsed, with a parser of the caller's: a function from frames with a column text to frames of the schema."""
+    return queries.join(queries.select("text").distinct().mapInPandas(parser, schema), "text")
+
+
 def relation_of(form: Column) -> Column:
     """A surface form's relation, as it is or without its prefix, suffix or both."""
     from . import lookup

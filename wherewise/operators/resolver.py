@@ -6,6 +6,8 @@ scene followed by arg-max aggregates and windows over the query; no phrase is a
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,21 +123,28 @@ def answers(queries: DataFrame, objects: DataFrame, rooms: DataFrame) -> DataFra
     return rows.groupBy("query_id", "relation_type").pivot("kind", list(COMPARED_FRAMES)).agg(F.first("answer"))
 
 
-def sweep(queries: DataFrame, objects: DataFrame, rooms: DataFrame, trials: int = 20, scale: float = 0.3, seed: int = 0) -> DataFrame:
-    """Rate of disagreement between egocentric and intrinsic answers over jittered cones: median, 10th and 90th percentile, extremes.
+def trial_table(spark, trials: int = 20, scale: float = 0.3, seed: int = 0) -> DataFrame:
+    """trial, full, half, slack: jittered cones and depths; trial 0 has the defaults."""
+    return spark.createDataFrame(_trials(trials, scale, seed), "trial int, full double, half double, slack double")
 
-    Trials are rows that are crossed with the scored pairs' terms, not runs: geometry is computed once for all of them.
-    """
-    spark = queries.sparkSession
-    import random
 
+def _trials(trials: int, scale: float, seed: int) -> list[tuple]:
     rng = random.Random(seed)
     draw = lambda v: v * (1 + scale) ** rng.uniform(-1, 1)
     rows = [(0, CFG.cone_full_credit_deg, CFG.cone_half_angle_deg, CFG.depth_overlap_slack)]
     for i in range(1, trials + 1):
         full, half = sorted((draw(CFG.cone_full_credit_deg), draw(CFG.cone_half_angle_deg)))
         rows.append((i, full, half, draw(CFG.depth_overlap_slack)))
-    table = F.broadcast(spark.createDataFrame(rows, "trial int, full double, half double, slack double"))
+    return rows
+
+
+def sweep(queries: DataFrame, objects: DataFrame, rooms: DataFrame, trials: int = 20, scale: float = 0.3, seed: int = 0) -> DataFrame:
+    """Rate of disagreement between egocentric and intrinsic answers over jittered cones: median, 10th and 90th percentile, extremes.
+
+    Trials are rows that are crossed with the scored pairs' terms, not runs: geometry is computed once for all of them.
+    """
+    rows = _trials(trials, scale, seed)
+    table = F.broadcast(trial_table(queries.sparkSession, trials, scale, seed))
     a = prefixed(objects, "a", ("scene_id",)).withColumnRenamed("a_label", "anchor")
     volume = F.col("a_hx") * F.col("a_hy") * F.col("a_hz")
     anchors = a.withColumn("a_rank", F.row_number().over(Window.partitionBy("scene_id", "anchor").orderBy(volume.desc(), "a_id"))).where(F.col("a_rank") <= MAX_ANCHORS)

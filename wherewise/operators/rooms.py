@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import r6
+from ..functions.geometry import r9
 
 
 def levels(objects: DataFrame, step: float = 0.25, least: int = 5) -> DataFrame:
@@ -36,7 +36,7 @@ def walls(points: DataFrame, slab: float = 0.25, quantile: float = 0.995, cell:
 def bounds(points: DataFrame) -> DataFrame:
     q = lambda c, p: F.percentile(c, p)
     top = q("z", 0.998)
-    return points.groupBy("scene_id").agg(r6(q("z", 0.002)).alias("floor_z"), r6(F.when(top >= 1.2, top)).alias("ceiling_z"), *[r6(q(c, p)).alias(f"{c}{i}") for c in "xy" for i, p in ((0, 0.001), (1, 0.999))])
+    return points.groupBy("scene_id").agg(r9(q("z", 0.002)).alias("floor_z"), r9(F.when(top >= 1.2, top)).alias("ceiling_z"), *[r9(q(c, p)).alias(f"{c}{i}") for c in "xy" for i, p in ((0, 0.001), (1, 0.999))])
 
 
 def forward(points: DataFrame, poses: DataFrame) -> DataFrame:

@@ -12,8 +12,8 @@ def gmean(values: list[str], weights: list[float]) -> str:
     return f"exp(({logs}) / CAST({float(sum(weights))!r} AS DOUBLE))"
 
 
-def r6(x: str) -> str:
-    return f"(round({x}, 6) + 0.0E0)"
+def r9(x: str) -> str:
+    return f"(round({x}, 9) + 0.0E0)"
 
 
 def radius(p: str, ax: str, ay: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import Box, clip, prefixed, r6, ramp
+from ..functions.geometry import Box, clip, prefixed, r9, ramp
 from ..operators import evaluation as E
 from ..operators import fronts, masks, proposals
 from . import oracle as O
@@ -42,22 +42,22 @@ def eval_correct(x: Tables) -> DataFrame:
 _PR = "p AS (SELECT condition_key, {tp} AS tp, {fp} AS fp, {fn} AS fn, {tn} AS tn FROM o GROUP BY condition_key)".format(tp=n_if("ambiguous_gold AND flagged_ambiguous"), fp=n_if("NOT ambiguous_gold AND flagged_ambiguous"), fn=n_if("ambiguous_gold AND NOT flagged_ambiguous"), tn=n_if("NOT ambiguous_gold AND NOT flagged_ambiguous"))
 
 
-@query("eval_binary", f"WITH {_OUT}, {_PR} SELECT condition_key, tp, fp, fn, tn, {O.r6('CAST(tp AS DOUBLE) / nullif(tp + fp, 0)')} AS precision, {O.r6('CAST(tp AS DOUBLE) / nullif(tp + fn, 0)')} AS recall, {O.r6('2.0E0 * tp / nullif(CASE WHEN tp > 0 THEN 2 * tp + fp + fn END, 0)')} AS f1 FROM p")
+@query("eval_binary", f"WITH {_OUT}, {_PR} SELECT condition_key, tp, fp, fn, tn, {O.r9('CAST(tp AS DOUBLE) / nullif(tp + fp, 0)')} AS precision, {O.r9('CAST(tp AS DOUBLE) / nullif(tp + fn, 0)')} AS recall, {O.r9('2.0E0 * tp / nullif(CASE WHEN tp > 0 THEN 2 * tp + fp + fn END, 0)')} AS f1 FROM p")
 def eval_binary(x: Tables) -> DataFrame:
     """Detection of ambiguity; F1 is null, not 0, where precision or recall is 0 or undefined."""
     return E.binary(outcomes(x).groupBy("condition_key"), F.col("ambiguous_gold"), F.col("flagged_ambiguous"))
 
 
-@query("eval_aggregate", f"WITH {_OUT} SELECT relation_type, gold_frame, difficulty, scene_id, {N} AS n, {O.r6('avg(CAST(correct AS INT))')} AS accuracy, median(elapsed_ms) AS median_ms FROM o GROUP BY GROUPING SETS ((), (relation_type), (gold_frame), (difficulty), (scene_id))")
+@query("eval_aggregate", f"WITH {_OUT} SELECT relation_type, gold_frame, difficulty, scene_id, {N} AS n, {O.r9('avg(CAST(correct AS INT))')} AS accuracy, median(elapsed_ms) AS median_ms FROM o GROUP BY GROUPING SETS ((), (relation_type), (gold_frame), (difficulty), (scene_id))")
 def eval_aggregate(x: Tables) -> DataFrame:
     """Overall and by each of four groupings in one pass of grouping sets."""
     return E.accuracy_cube(outcomes(x))
 
 
-@query("eval_slices", f"WITH {_OUT} SELECT condition_key, {O.r6('avg(CASE WHEN NOT ambiguous_gold THEN CAST(correct AS INT) END)')} AS unambiguous, {O.r6('avg(CASE WHEN ambiguous_gold THEN CAST(correct AS INT) END)')} AS ambiguous, {O.r6(f'avg(CASE WHEN {_DEP} THEN CAST(correct AS INT) END)')} AS frame_dependent, {O.r6(f'avg(CASE WHEN NOT ({_DEP}) THEN CAST(correct AS INT) END)')} AS frame_independent FROM o GROUP BY condition_key")
+@query("eval_slices", f"WITH {_OUT} SELECT condition_key, {O.r9('avg(CASE WHEN NOT ambiguous_gold THEN CAST(correct AS INT) END)')} AS unambiguous, {O.r9('avg(CASE WHEN ambiguous_gold THEN CAST(correct AS INT) END)')} AS ambiguous, {O.r9(f'avg(CASE WHEN {_DEP} THEN CAST(correct AS INT) END)')} AS frame_dependent, {O.r9(f'avg(CASE WHEN NOT ({_DEP}) THEN CAST(correct AS INT) END)')} AS frame_independent FROM o GROUP BY condition_key")
 def eval_slices(x: Tables) -> DataFrame:
     dep = F.col("relation_type").isin("projective_lateral", "projective_frontal", "ordinal")
-    part = lambda c: r6(F.avg(F.when(c, F.col("correct").cast("int"))))
+    part = lambda c: r9(F.avg(F.when(c, F.col("correct").cast("int"))))
     return outcomes(x).groupBy("condition_key").agg(part(~F.col("ambiguous_gold")).alias("unambiguous"), part(F.col("ambiguous_gold")).alias("ambiguous"), part(dep).alias("frame_dependent"), part(~dep).alias("frame_independent"))
 
 
@@ -171,9 +171,9 @@ def item_annotate_save(x: Tables) -> DataFrame:
 _USE = "u AS (SELECT *, 2 * sqrt(hx * hx + hy * hy + hz * hz) AS diameter, 8 * hx * hy * hz AS volume FROM fx_objects WHERE 2 * sqrt(hx * hx + hy * hy + hz * hz) >= 0.05E0)"
 
 
-@query("gen_usable", f"WITH {_USE} SELECT scene_id, id, {O.r6('diameter')} AS diameter FROM u")
+@query("gen_usable", f"WITH {_USE} SELECT scene_id, id, {O.r9('diameter')} AS diameter FROM u")
 def gen_usable(x: Tables) -> DataFrame:
-    return proposals.usable(x.objects).select("scene_id", "id", r6(F.col("diameter")).alias("diameter"))
+    return proposals.usable(x.objects).select("scene_id", "id", r9(F.col("diameter")).alias("diameter"))
 
 
 @query("gen_classes", f"WITH {_USE} SELECT scene_id, label, {N} AS n, min(id) AS first_id FROM u GROUP BY scene_id, label")
@@ -184,9 +184,9 @@ def gen_classes(x: Tables) -> DataFrame:
 _SAL = f"{_USE}, s AS (SELECT scene_id, label, 1.0E0 * (0.45E0 + 0.35E0 * least(1.0E0, ln(1 + 20 * median(volume)) / 3) + 0.2E0 / (1 + 0.25E0 * (count(*) - 1))) + CASE WHEN bool_or(front_x IS NOT NULL) THEN 0.3E0 ELSE 0.0E0 END AS salience FROM u GROUP BY scene_id, label)"
 
 
-@query("gen_anchor_salience", f"WITH {_SAL} SELECT scene_id, label, {O.r6('salience')} AS salience FROM s")
+@query("gen_anchor_salience", f"WITH {_SAL} SELECT scene_id, label, {O.r9('salience')} AS salience FROM s")
 def gen_anchor_salience(x: Tables) -> DataFrame:
-    return proposals.salience(x.objects).select("scene_id", "label", r6(F.col("salience")).alias("salience"))
+    return proposals.salience(x.objects).select("scene_id", "label", r9(F.col("salience")).alias("salience"))
 
 
 @query("gen_anchor_topk", f"WITH {_SAL} SELECT scene_id, label, row_number() OVER (PARTITION BY scene_id ORDER BY round(salience, 9) DESC, label) AS place FROM s QUALIFY place <= 12")
@@ -206,11 +206,11 @@ def _generated() -> str:
     return f"g AS ({' UNION ALL '.join(parts)})"
 
 
-@query("gen_frame_answers", f"WITH {_generated()} SELECT scene_id, target, anchor, kind, {O.r6('CASE WHEN best >= 0.12E0 THEN best END')} AS best FROM g")
+@query("gen_frame_answers", f"WITH {_generated()} SELECT scene_id, target, anchor, kind, {O.r9('CASE WHEN best >= 0.12E0 THEN best END')} AS best FROM g")
 def gen_frame_answers(x: Tables) -> DataFrame:
     """The best pair of each two classes to the left, under each frame."""
     g = proposals.class_pairs(x.objects, x.rooms, "left")
-    return g.select("scene_id", "target", "anchor", "kind", r6(F.when(F.col("best") >= 0.12, F.col("best"))).alias("best"))
+    return g.select("scene_id", "target", "anchor", "kind", r9(F.when(F.col("best") >= 0.12, F.col("best"))).alias("best"))
 
 
 @query("gen_difficulty", f"WITH {_generated()}, d AS (SELECT scene_id, target, anchor, {n_if('best >= 0.12E0')} AS frames FROM g GROUP BY scene_id, target, anchor), c AS (SELECT scene_id, label, count(*) AS n FROM fx_objects GROUP BY scene_id, label) SELECT d.scene_id, target, anchor, frames, CASE WHEN frames > 1 OR c.n > 2 THEN 'medium' ELSE 'easy' END AS difficulty FROM d JOIN c ON c.scene_id = d.scene_id AND c.label = d.anchor WHERE frames > 0")
@@ -220,7 +220,7 @@ def gen_difficulty(x: Tables) -> DataFrame:
     return g.join(c, ["scene_id", "anchor"]).select("scene_id", "target", "anchor", "frames", F.when((F.col("frames") > 1) | (F.col("n") > 2), "medium").otherwise("easy").alias("difficulty"))
 
 
-@query("gen_pairs", f"SELECT scene_id, target_id, anchor_id, {O.r6('v')} AS score FROM (SELECT t.scene_id, t.id AS target_id, a.id AS anchor_id, 1.0E0 - {O.ramp('greatest(0.0E0, ' + O.box_gap('t', 'a') + ')', '0.3E0 + 0.3E0 * (' + O.reach('t') + ' + ' + O.reach('a') + ')', '3 * (0.3E0 + 0.3E0 * (' + O.reach('t') + ' + ' + O.reach('a') + '))')} AS v {O.PAIRS}) p WHERE v >= 0.55E0")
+@query("gen_pairs", f"SELECT scene_id, target_id, anchor_id, {O.r9('v')} AS score FROM (SELECT t.scene_id, t.id AS target_id, a.id AS anchor_id, 1.0E0 - {O.ramp('greatest(0.0E0, ' + O.box_gap('t', 'a') + ')', '0.3E0 + 0.3E0 * (' + O.reach('t') + ' + ' + O.reach('a') + ')', '3 * (0.3E0 + 0.3E0 * (' + O.reach('t') + ' + ' + O.reach('a') + '))')} AS v {O.PAIRS}) p WHERE v >= 0.55E0")
 def gen_pairs(x: Tables) -> DataFrame:
     """Pairs that are near with 0.55 or more."""
     from .q_relations import ids, pairs
@@ -228,7 +228,7 @@ def gen_pairs(x: Tables) -> DataFrame:
     from ..operators import relations as R
 
     rows = pairs(x).withColumn("gap", F.greatest(F.lit(0.0), box_gap(R.T, R.A))).withColumn("score", R.near(F.col("gap")))
-    return rows.where("score >= 0.55").select(*ids(), r6(F.col("score")).alias("score"))
+    return rows.where("score >= 0.55").select(*ids(), r9(F.col("score")).alias("score"))
 
 
 @query("gen_projective", None)
@@ -316,10 +316,10 @@ def vlm_classify(x: Tables) -> DataFrame:
     return probe_pairs(x).select("query_id", E.implied_frames(F.col("neutral"), F.array("given_a", "gold_a", "gold_b")).alias("outcome"))
 
 
-@query("vlm_summary", f"WITH {_PAIR} SELECT relation, {n_if('neutral = gold_a OR neutral = gold_b')} AS with_frame, {O.r6('avg(CASE WHEN neutral = gold_a THEN 1.0E0 ELSE 0.0E0 END)')} AS agreement FROM pr GROUP BY relation")
+@query("vlm_summary", f"WITH {_PAIR} SELECT relation, {n_if('neutral = gold_a OR neutral = gold_b')} AS with_frame, {O.r9('avg(CASE WHEN neutral = gold_a THEN 1.0E0 ELSE 0.0E0 END)')} AS agreement FROM pr GROUP BY relation")
 def vlm_summary(x: Tables) -> DataFrame:
     n = F.col("neutral")
-    return probe_pairs(x).groupBy("relation").agg(F.count_if((n == F.col("gold_a")) | (n == F.col("gold_b"))).alias("with_frame"), r6(F.avg(F.when(n == F.col("gold_a"), 1.0).otherwise(0.0))).alias("agreement"))
+    return probe_pairs(x).groupBy("relation").agg(F.count_if((n == F.col("gold_a")) | (n == F.col("gold_b"))).alias("with_frame"), r9(F.avg(F.when(n == F.col("gold_a"), 1.0).otherwise(0.0))).alias("agreement"))
 
 
 @query("vlm_select", f"WITH {_PAIR} SELECT query_id FROM pr WHERE gold_a <> gold_b")
@@ -411,17 +411,17 @@ def mp_summary(x: Tables) -> DataFrame:
 _IOU = "i AS (SELECT gt_id, pred_id, count(*) AS n FROM fx_masks GROUP BY gt_id, pred_id), gs AS (SELECT gt_id, count(*) AS s FROM fx_masks GROUP BY gt_id), ps AS (SELECT pred_id, count(*) AS s FROM fx_masks GROUP BY pred_id), m AS (SELECT i.gt_id, i.pred_id, CAST(i.n AS DOUBLE) / (gs.s + ps.s - i.n) AS iou FROM i JOIN gs ON gs.gt_id = i.gt_id JOIN ps ON ps.pred_id = i.pred_id)"
 
 
-@query("mask_iou", f"WITH {_IOU} SELECT gt_id, pred_id, {O.r6('iou')} AS iou FROM m")
+@query("mask_iou", f"WITH {_IOU} SELECT gt_id, pred_id, {O.r9('iou')} AS iou FROM m")
 def mask_iou(x: Tables) -> DataFrame:
     """Overlap of instances by counting shared vertices: an equi-join, so pairs that share none never appear."""
-    return masks.overlaps(x.masks).select("gt_id", "pred_id", r6(F.col("iou")).alias("iou"))
+    return masks.overlaps(x.masks).select("gt_id", "pred_id", r9(F.col("iou")).alias("iou"))
 
 
-@query("mask_score", f"WITH {_IOU}, b AS (SELECT gt_id, max(iou) AS best FROM m GROUP BY gt_id) SELECT {N} AS n_gt, {', '.join(f'{O.r6(f"avg(CASE WHEN best >= {t} THEN 1.0E0 ELSE 0.0E0 END)")} AS recall_{n}' for n, t in (('25', '0.25E0'), ('50', '0.5E0'), ('75', '0.75E0')))}, {O.r6('avg(best)')} AS mean_iou, {O.r6('median(best)')} AS median_iou FROM b")
+@query("mask_score", f"WITH {_IOU}, b AS (SELECT gt_id, max(iou) AS best FROM m GROUP BY gt_id) SELECT {N} AS n_gt, {', '.join(f'{O.r9(f"avg(CASE WHEN best >= {t} THEN 1.0E0 ELSE 0.0E0 END)")} AS recall_{n}' for n, t in (('25', '0.25E0'), ('50', '0.5E0'), ('75', '0.75E0')))}, {O.r9('avg(best)')} AS mean_iou, {O.r9('median(best)')} AS median_iou FROM b")
 def mask_score(x: Tables) -> DataFrame:
     best = masks.overlaps(x.masks).groupBy("gt_id").agg(F.max("iou").alias("best"))
-    recall = lambda t: r6(F.avg(F.when(F.col("best") >= t, 1.0).otherwise(0.0)))
-    return best.agg(F.count("*").alias("n_gt"), recall(0.25).alias("recall_25"), recall(0.5).alias("recall_50"), recall(0.75).alias("recall_75"), r6(F.avg("best")).alias("mean_iou"), r6(F.median("best")).alias("median_iou"))
+    recall = lambda t: r9(F.avg(F.when(F.col("best") >= t, 1.0).otherwise(0.0)))
+    return best.agg(F.count("*").alias("n_gt"), recall(0.25).alias("recall_25"), recall(0.5).alias("recall_50"), recall(0.75).alias("recall_75"), r9(F.avg("best")).alias("mean_iou"), r9(F.median("best")).alias("median_iou"))
 
 
 @query("mask_match", None)
@@ -458,9 +458,9 @@ def seg_structure(x: Tables) -> DataFrame:
     return rows.groupBy("scene_id").agg(F.count_if(F.col("z") - F.col("floor_z") <= 0.06).alias("floor_points"), F.count_if(wall).alias("wall_points"))
 
 
-@query("seg_summary", f"SELECT scene_id, id, {N} AS n, {', '.join(f'{O.r6(f"avg({c})")} AS m{c}' for c in 'xyz')}, {O.r6('covar_pop(x, y)')} AS cxy, {O.r6('max(z) - min(z)')} AS height FROM fx_points GROUP BY scene_id, id")
+@query("seg_summary", f"SELECT scene_id, id, {N} AS n, {', '.join(f'{O.r9(f"avg({c})")} AS m{c}' for c in 'xyz')}, {O.r9('covar_pop(x, y)')} AS cxy, {O.r9('max(z) - min(z)')} AS height FROM fx_points GROUP BY scene_id, id")
 def seg_summary(x: Tables) -> DataFrame:
-    return x.points.groupBy("scene_id", "id").agg(F.count("*").alias("n"), *[r6(F.avg(c)).alias(f"m{c}") for c in "xyz"], r6(F.covar_pop("x", "y")).alias("cxy"), r6(F.max("z") - F.min("z")).alias("height"))
+    return x.points.groupBy("scene_id", "id").agg(F.count("*").alias("n"), *[r9(F.avg(c)).alias(f"m{c}") for c in "xyz"], r9(F.covar_pop("x", "y")).alias("cxy"), r9(F.max("z") - F.min("z")).alias("height"))
 
 
 @query("seg_felzenszwalb", None)
@@ -472,32 +472,32 @@ def seg_felzenszwalb(x: Tables) -> DataFrame:
 # fronts ---------------------------------------------------------------------------------------------------------------------------
 
 
-@query("front_candidates", "SELECT scene_id, id, d.k AS side, " + O.r6("d.sx * ux - d.sy * uy") + " AS x, " + O.r6("d.sx * uy + d.sy * ux") + " AS y FROM fx_objects CROSS JOIN (VALUES (0, 1, 0), (1, -1, 0), (2, 0, 1), (3, 0, -1)) AS d(k, sx, sy)")
+@query("front_candidates", "SELECT scene_id, id, d.k AS side, " + O.r9("d.sx * ux - d.sy * uy") + " AS x, " + O.r9("d.sx * uy + d.sy * ux") + " AS y FROM fx_objects CROSS JOIN (VALUES (0, 1, 0), (1, -1, 0), (2, 0, 1), (3, 0, -1)) AS d(k, sx, sy)")
 def front_candidates(x: Tables) -> DataFrame:
-    return fronts.faces(x.objects).select("scene_id", "id", "side", r6(F.col("dx")).alias("x"), r6(F.col("dy")).alias("y"))
+    return fronts.faces(x.objects).select("scene_id", "id", "side", r9(F.col("dx")).alias("x"), r9(F.col("dy")).alias("y"))
 
 
 _CLR = "f AS (SELECT o.*, d.k AS side, d.sx * ux - d.sy * uy AS dx, d.sx * uy + d.sy * ux AS dy, CASE WHEN d.k < 2 THEN hx ELSE hy END AS ext FROM fx_objects o CROSS JOIN (VALUES (0, 1, 0), (1, -1, 0), (2, 0, 1), (3, 0, -1)) AS d(k, sx, sy)), c AS (SELECT f.scene_id, f.id, f.side, greatest(0.0E0, greatest(r.x0 * f.dx, r.x1 * f.dx) + greatest(r.y0 * f.dy, r.y1 * f.dy) - (f.cx * f.dx + f.cy * f.dy + f.ext)) AS free FROM f JOIN fx_rooms r ON r.scene_id = f.scene_id)"
 
 
-@query("front_clearance", f"WITH {_CLR} SELECT scene_id, id, side, {O.r6('free')} AS free FROM c")
+@query("front_clearance", f"WITH {_CLR} SELECT scene_id, id, side, {O.r9('free')} AS free FROM c")
 def front_clearance(x: Tables) -> DataFrame:
     """Free space in front of each face up to the room's bounds."""
-    return fronts.clearance(x.objects, x.rooms).select("scene_id", "id", "side", r6(F.col("free")).alias("free"))
+    return fronts.clearance(x.objects, x.rooms).select("scene_id", "id", "side", r9(F.col("free")).alias("free"))
 
 
 _ASYM = f"{_CLR}, p AS (SELECT scene_id, id, max(CASE WHEN side = 0 THEN free END) AS f0, max(CASE WHEN side = 1 THEN free END) AS f1, max(CASE WHEN side = 2 THEN free END) AS f2, max(CASE WHEN side = 3 THEN free END) AS f3 FROM c GROUP BY scene_id, id)"
 
 
-@query("front_cue_wall", f"WITH {_ASYM} SELECT scene_id, id, {O.r6('(1.0E0 - ' + O.ramp('least(f0, f1, f2, f3)', '0.45E0', '1.125E0') + ') * ' + O.ramp('greatest(abs(f0 - f1), abs(f2 - f3))', '0.25E0', '1.2E0'))} AS weight FROM p")
+@query("front_cue_wall", f"WITH {_ASYM} SELECT scene_id, id, {O.r9('(1.0E0 - ' + O.ramp('least(f0, f1, f2, f3)', '0.45E0', '1.125E0') + ') * ' + O.ramp('greatest(abs(f0 - f1), abs(f2 - f3))', '0.25E0', '1.2E0'))} AS weight FROM p")
 def front_cue_wall(x: Tables) -> DataFrame:
-    return fronts.wall_cue(fronts.clearance(x.objects, x.rooms)).select("scene_id", "id", r6(F.col("weight")).alias("weight"))
+    return fronts.wall_cue(fronts.clearance(x.objects, x.rooms)).select("scene_id", "id", r9(F.col("weight")).alias("weight"))
 
 
-@query("front_cue_shape", f"SELECT scene_id, id, {O.r6(O.ramp('greatest(hx, hy) / least(hx, hy)', '1.15E0', '2.2E0'))} AS long_side, {O.r6(O.ramp('greatest(hx, hy, hz) / least(hx, hy)', '1.35E0', '3.0E0'))} AS thin_face FROM fx_objects")
+@query("front_cue_shape", f"SELECT scene_id, id, {O.r9(O.ramp('greatest(hx, hy) / least(hx, hy)', '1.15E0', '2.2E0'))} AS long_side, {O.r9(O.ramp('greatest(hx, hy, hz) / least(hx, hy)', '1.35E0', '3.0E0'))} AS thin_face FROM fx_objects")
 def front_cue_shape(x: Tables) -> DataFrame:
     hx, hy, hz = (F.col(c) for c in ("hx", "hy", "hz"))
-    return x.objects.select("scene_id", "id", r6(ramp(F.greatest(hx, hy) / F.least(hx, hy), 1.15, 2.20)).alias("long_side"), r6(ramp(F.greatest(hx, hy, hz) / F.least(hx, hy), 1.35, 3.00)).alias("thin_face"))
+    return x.objects.select("scene_id", "id", r9(ramp(F.greatest(hx, hy) / F.least(hx, hy), 1.15, 2.20)).alias("long_side"), r9(ramp(F.greatest(hx, hy, hz) / F.least(hx, hy), 1.35, 3.00)).alias("thin_face"))
 
 
 @query("front_cue_points", f"SELECT o.scene_id, o.id, {', '.join(f'{n_if(c)} AS face_{i}' for i, c in enumerate(('lx > o.hx * 0.72E0', 'lx < -o.hx * 0.72E0', 'ly > o.hy * 0.72E0', 'ly < -o.hy * 0.72E0')))} FROM (SELECT o.*, (p.x - o.cx) * o.ux + (p.y - o.cy) * o.uy AS lx, (p.y - o.cy) * o.ux - (p.x - o.cx) * o.uy AS ly FROM fx_objects o JOIN fx_points p ON p.scene_id = o.scene_id AND p.id = o.id) o GROUP BY o.scene_id, o.id")
@@ -536,17 +536,17 @@ def quality_audit(x: Tables) -> DataFrame:
 # embeddings -----------------------------------------------------------------------------------------------------------------------
 
 
-@query("clip_aggregate", f"SELECT CAST(label AS BIGINT) AS label, i AS dim, {O.r6('avg(v)')} AS mean FROM (SELECT label, unnest(range(1, 65)) AS i, unnest(CAST(embedding AS DOUBLE[])) AS v FROM embeddings) e GROUP BY label, i")
+@query("clip_aggregate", f"SELECT CAST(label AS BIGINT) AS label, i AS dim, {O.r9('avg(v)')} AS mean FROM (SELECT label, unnest(range(1, 65)) AS i, unnest(CAST(embedding AS DOUBLE[])) AS v FROM embeddings) e GROUP BY label, i")
 def clip_aggregate(x: Tables) -> DataFrame:
     """Mean embedding of each label's views, by dimension."""
     e = x.source("embeddings").select("label", F.posexplode("embedding").alias("i", "v"))
-    return e.groupBy(F.col("label").cast("long").alias("label"), (F.col("i") + 1).cast("long").alias("dim")).agg(r6(F.avg(F.col("v").cast("double"))).alias("mean"))
+    return e.groupBy(F.col("label").cast("long").alias("label"), (F.col("i") + 1).cast("long").alias("dim")).agg(r9(F.avg(F.col("v").cast("double"))).alias("mean"))
 
 
 _CLIP = "s AS (SELECT e.vec_id, t.label, 100 * list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(t.embedding AS DOUBLE[])) AS logit FROM embeddings e CROSS JOIN (SELECT * FROM embeddings WHERE vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label)) t), p AS (SELECT *, exp(logit - max(logit) OVER (PARTITION BY vec_id)) AS x FROM s)"
 
 
-@query("clip_classify", f"WITH {_CLIP} SELECT vec_id, CAST(label AS BIGINT) AS label, {O.r6('x / sum(x) OVER (PARTITION BY vec_id)')} AS prob FROM p QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(x, 12) DESC, label) <= 1")
+@query("clip_classify", f"WITH {_CLIP} SELECT vec_id, CAST(label AS BIGINT) AS label, {O.r9('x / sum(x) OVER (PARTITION BY vec_id)')} AS prob FROM p QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(x, 12) DESC, label) <= 1")
 def clip_classify(x: Tables) -> DataFrame:
     """Softmax over 100 times the cosine with each label's vector; the most likely label."""
-    return masks.classify(x.source("embeddings")).select("vec_id", "label", r6(F.col("prob")).alias("prob"))
+    return masks.classify(x.source("embeddings")).select("vec_id", "label", r9(F.col("prob")).alias("prob"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import Box, Span, box_gap, contains, corners, horizontal, prefixed, r6
+from ..functions.geometry import Box, Span, box_gap, contains, corners, horizontal, prefixed, r9
 from ..operators import clouds, frames, poses
 from . import oracle as O
 from .catalog import query
@@ -16,11 +16,11 @@ _ID = "SELECT scene_id, id, "
 
 
 def _r(**columns: str) -> str:
-    return ", ".join(f"{O.r6(v)} AS {k}" for k, v in columns.items())
+    return ", ".join(f"{O.r9(v)} AS {k}" for k, v in columns.items())
 
 
 def _cols(**columns) -> list:
-    return [r6(v).alias(k) for k, v in columns.items()]
+    return [r9(v).alias(k) for k, v in columns.items()]
 
 
 def boxes(x: Tables) -> DataFrame:
@@ -103,14 +103,14 @@ def cloud_gap(x: Tables) -> DataFrame:
 @query("voxel_downsample", f"SELECT scene_id, CAST(floor(x / 0.5E0) AS BIGINT) AS i, CAST(floor(y / 0.5E0) AS BIGINT) AS j, CAST(floor(z / 0.5E0) AS BIGINT) AS k, count(*) AS n, {_r(mx='avg(x)', my='avg(y)', mz='avg(z)')} FROM fx_points GROUP BY 1, 2, 3, 4")
 def voxel_downsample(x: Tables) -> DataFrame:
     cell = [F.floor(F.col(c) / 0.5).alias(n) for c, n in zip("xyz", "ijk", strict=True)]
-    return x.points.groupBy("scene_id", *cell).agg(F.count("*").alias("n"), *[r6(F.avg(c)).alias(f"m{c}") for c in "xyz"])
+    return x.points.groupBy("scene_id", *cell).agg(F.count("*").alias("n"), *[r9(F.avg(c)).alias(f"m{c}") for c in "xyz"])
 
 
 @query("area_2d", f"SELECT scene_id, {_r(area='CAST(count(*) AS DOUBLE) * 0.0625E0')} FROM (SELECT DISTINCT scene_id, floor(x / 0.25E0) AS i, floor(y / 0.25E0) AS j FROM fx_points) c GROUP BY scene_id")
 def area_2d(x: Tables) -> DataFrame:
     """Floor area as occupied cells."""
     cells = x.points.select("scene_id", F.floor(F.col("x") / 0.25).alias("i"), F.floor(F.col("y") / 0.25).alias("j")).distinct()
-    return cells.groupBy("scene_id").agg(r6(F.count("*") * 0.0625).alias("area"))
+    return cells.groupBy("scene_id").agg(r9(F.count("*") * 0.0625).alias("area"))
 
 
 _AABB = ", ".join(f"min({c}) AS {c}0, max({c}) AS {c}1" for c in "xyz")
@@ -118,7 +118,7 @@ _AABB = ", ".join(f"min({c}) AS {c}0, max({c}) AS {c}1" for c in "xyz")
 
 @query("obb_aabb", f"SELECT scene_id, id, {_r(**{f'{c}{e}': f'{f}({c})' for c in 'xyz' for e, f in ((0, 'min'), (1, 'max'))})} FROM fx_points GROUP BY scene_id, id")
 def obb_aabb(x: Tables) -> DataFrame:
-    return x.points.groupBy("scene_id", "id").agg(*[r6(f(c)).alias(f"{c}{e}") for c in "xyz" for e, f in ((0, F.min), (1, F.max))])
+    return x.points.groupBy("scene_id", "id").agg(*[r9(f(c)).alias(f"{c}{e}") for c in "xyz" for e, f in ((0, F.min), (1, F.max))])
 
 
 @query("obb_fit", None)
@@ -154,7 +154,7 @@ _FACES = [(0, 1, 3), (0, 3, 2), (4, 6, 7), (4, 7, 5), (0, 4, 5), (0, 5, 1), (2,
 def normals_mesh(x: Tables) -> DataFrame:
     """Triangle normals of each box's faces, summed by object."""
     faces = x.spark.createDataFrame([(i, *f) for i, f in enumerate(_FACES)], "face int, p long, q long, r long")
-    return clouds.mesh_normals(x.points, F.broadcast(faces)).groupBy("scene_id", "id").agg(F.round(F.sum(0.5 * F.sqrt(F.col("nx") ** 2 + F.col("ny") ** 2 + F.col("nz") ** 2)), 9).alias("area"), *[r6(F.sum(F.abs(F.col(c)))).alias(c) for c in ("nx", "ny", "nz")])
+    return clouds.mesh_normals(x.points, F.broadcast(faces)).groupBy("scene_id", "id").agg(F.round(F.sum(0.5 * F.sqrt(F.col("nx") ** 2 + F.col("ny") ** 2 + F.col("nz") ** 2)), 9).alias("area"), *[r9(F.sum(F.abs(F.col(c)))).alias(c) for c in ("nx", "ny", "nz")])
 
 
 # poses and viewpoints -------------------------------------------------------------------------------------------------------------
@@ -228,7 +228,7 @@ def all_frames(x: Tables) -> DataFrame:
 
 
 def _frame_rows(x: Tables) -> DataFrame:
-    return all_frames(x).select("scene_id", F.col("a_id").alias("id"), "kind", *[r6(F.col(c)).alias(c) for c in ("rx", "ry", "fx", "fy", "confidence")], "available")
+    return all_frames(x).select("scene_id", F.col("a_id").alias("id"), "kind", *[r9(F.col(c)).alias(c) for c in ("rx", "ry", "fx", "fy", "confidence")], "available")
 
 
 @query("frames_build", " UNION ALL ".join(_kind(k) for k in _KIND_SQL))
@@ -246,7 +246,7 @@ for _k in _KIND_SQL:
 @query("frame_ops", f"SELECT scene_id, id, kind, {_r(handedness='sign(rx * fy - ry * fx)')} FROM ({' UNION ALL '.join(_kind(k) for k in _KIND_SQL)}) k WHERE available")
 def frame_ops(x: Tables) -> DataFrame:
     """Right- or left-handed: the sign of the axes' determinant."""
-    return all_frames(x).where("available").select("scene_id", F.col("a_id").alias("id"), "kind", r6(F.signum(F.col("rx") * F.col("fy") - F.col("ry") * F.col("fx"))).alias("handedness"))
+    return all_frames(x).where("available").select("scene_id", F.col("a_id").alias("id"), "kind", r9(F.signum(F.col("rx") * F.col("fy") - F.col("ry") * F.col("fx"))).alias("handedness"))
 
 
 _RHO = "greatest(1e-3, sqrt((a.cx - 3) * (a.cx - 3) + (a.cy + 1) * (a.cy + 1)))"

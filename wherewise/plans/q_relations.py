@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import Box, box_gap, overlap_share, prefixed, r6
+from ..functions.geometry import Box, box_gap, overlap_share, prefixed, r9
 from ..operators import frames
 from ..operators import relations as R
 from . import oracle as O
@@ -36,25 +36,25 @@ def _ego(columns: str) -> str:
 
 for _d in R.DIRECTIONS:
 
-    @query(f"rel_{_d}", _ego(f"{O.r6(O.projective_value(_d))} AS score"))
+    @query(f"rel_{_d}", _ego(f"{O.r9(O.projective_value(_d))} AS score"))
     def _projective(x: Tables, d: str = _d) -> DataFrame:
-        return R.facing(seen(x), d).select(*ids(), r6(R.projective()).alias("score"))
+        return R.facing(seen(x), d).select(*ids(), r9(R.projective()).alias("score"))
 
 
-@query("rel_projective_terms", _ego(", ".join(f"{O.r6(v)} AS {k}" for k, v in O.projective("left").items())))
+@query("rel_projective_terms", _ego(", ".join(f"{O.r9(v)} AS {k}" for k, v in O.projective("left").items())))
 def rel_projective_terms(x: Tables) -> DataFrame:
-    return R.facing(seen(x), "left").select(*ids(), *[r6(v).alias(k) for k, v in R.projective_terms().items()])
+    return R.facing(seen(x), "left").select(*ids(), *[r9(v).alias(k) for k, v in R.projective_terms().items()])
 
 
-@query("rel_axis_value", _ego("round(px, 6) + 0.0E0 AS lateral, round(py, 6) + 0.0E0 AS frontal"))
+@query("rel_axis_value", _ego("round(px, 9) + 0.0E0 AS lateral, round(py, 9) + 0.0E0 AS frontal"))
 def rel_axis_value(x: Tables) -> DataFrame:
-    return seen(x).select(*ids(), r6(F.col("px")).alias("lateral"), r6(F.col("py")).alias("frontal"))
+    return seen(x).select(*ids(), r9(F.col("px")).alias("lateral"), r9(F.col("py")).alias("frontal"))
 
 
 def _simple(key: str, sql: str, score) -> None:
-    @query(key, O.pairs(f"{O.r6(sql)} AS score"))
+    @query(key, O.pairs(f"{O.r9(sql)} AS score"))
     def run(x: Tables) -> DataFrame:
-        return pairs(x).select(*ids(), r6(score()).alias("score"))
+        return pairs(x).select(*ids(), r9(score()).alias("score"))
 
 
 def _support(t: str, s: str, tol: str, least: str) -> str:
@@ -84,11 +84,11 @@ _NEAR = f"(1.0E0 - {O.ramp('g', 'd0', '3 * d0')})"
 def _gap_query(key: str, value: str, score) -> None:
     inner = f"SELECT t.scene_id, t.id AS target_id, a.id AS anchor_id, {_GAP} AS g, {_D0} AS d0, abs(t.cz - a.cz) AS dz, sqrt((t.cx - a.cx) * (t.cx - a.cx) + (t.cy - a.cy) * (t.cy - a.cy)) AS flat, {O.lap(O.tall('t'), O.tall('a'))} / (greatest(t.cz + t.hz, a.cz + a.hz) - least(t.cz - t.hz, a.cz - a.hz)) AS ziou, r.diag {O.PAIRS} JOIN (SELECT scene_id, greatest(1.0E0, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0) + (ceiling_z - floor_z) * (ceiling_z - floor_z))) AS diag FROM fx_rooms) r ON r.scene_id = t.scene_id"
 
-    @query(key, f"WITH p AS ({inner}) SELECT scene_id, target_id, anchor_id, {O.r6(value)} AS score FROM p")
+    @query(key, f"WITH p AS ({inner}) SELECT scene_id, target_id, anchor_id, {O.r9(value)} AS score FROM p")
     def run(x: Tables) -> DataFrame:
         scale = x.rooms.select("scene_id", frames.room_scale().alias("diag"))
         rows = pairs(x).withColumn("gap", F.greatest(F.lit(0.0), box_gap(T, A)))
-        return (rows.join(scale, "scene_id") if key == "rel_far_from" else rows).select(*ids(), r6(score(F.col("gap"))).alias("score"))
+        return (rows.join(scale, "scene_id") if key == "rel_far_from" else rows).select(*ids(), r9(score(F.col("gap"))).alias("score"))
 
 
 _gap_query("rel_near", _NEAR, R.near)
@@ -131,7 +131,7 @@ p AS (SELECT q.query_id, t.id AS target_id, a.id AS anchor_id, b.id AS anchor2_i
   FROM q JOIN fx_objects t ON t.scene_id = q.scene_id AND t.label = q.target JOIN fx_objects a ON a.scene_id = q.scene_id AND a.label = q.anchor JOIN fx_objects b ON b.scene_id = q.scene_id AND b.label = q.anchor2),
 s AS (SELECT *, (dx * abx + dy * aby) / (len * len) AS f FROM p),
 v AS (SELECT *, sqrt((dx - f * abx) * (dx - f * abx) + (dy - f * aby) * (dy - f * aby)) AS perp FROM s)
-SELECT query_id, target_id, anchor_id, anchor2_id, CASE WHEN len < 1e-3 THEN 0.0E0 ELSE {O.r6(O.gmean([f"least({O.ramp('f', '0.06E0', '0.12E0')}, 1.0E0 - {O.ramp('f', '0.88E0', '1.0E0')})", f"1.0E0 - {O.ramp('perp', '0.5E0 * w', '1.5E0 * w')}"], [1, 0.8]))} END AS score FROM v"""
+SELECT query_id, target_id, anchor_id, anchor2_id, CASE WHEN len < 1e-3 THEN 0.0E0 ELSE {O.r9(O.gmean([f"least({O.ramp('f', '0.06E0', '0.12E0')}, 1.0E0 - {O.ramp('f', '0.88E0', '1.0E0')})", f"1.0E0 - {O.ramp('perp', '0.5E0 * w', '1.5E0 * w')}"], [1, 0.8]))} END AS score FROM v"""
 
 
 @query("rel_between", _BETWEEN)
@@ -140,4 +140,4 @@ def rel_between(x: Tables) -> DataFrame:
     q = x.rich.where("family = 4").select("query_id", "scene_id", "target", "anchor", "anchor2")
     t, a, b = (prefixed(x.objects, p, ("scene_id",)) for p in "tab")
     rows = q.join(t.withColumnRenamed("t_label", "target"), ["scene_id", "target"]).join(a.withColumnRenamed("a_label", "anchor"), ["scene_id", "anchor"]).join(b.withColumnRenamed("b_label", "anchor2"), ["scene_id", "anchor2"])
-    return rows.select("query_id", F.col("t_id").alias("target_id"), F.col("a_id").alias("anchor_id"), F.col("b_id").alias("anchor2_id"), r6(R.between()).alias("score"))
+    return rows.select("query_id", F.col("t_id").alias("target_id"), F.col("a_id").alias("anchor_id"), F.col("b_id").alias("anchor2_id"), r9(R.between()).alias("score"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import r6
+from ..functions.geometry import r9
 from ..operators import resolver
 from . import oracle as O
 from .catalog import query
@@ -50,40 +50,40 @@ k AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM c),
 r AS (SELECT query_id, scene_id, relation, relation_type, t_id, a_id, score, row_number() OVER w AS rank, lead(score) OVER w AS second FROM k WHERE score > 1e-3 OR top <= 1e-3 WINDOW w AS (PARTITION BY query_id ORDER BY round(score, 9) DESC, t_id))"""
 
 
-@query("rel_dispatch", f"WITH {scored()} SELECT query_id, t_id AS target_id, a_id AS anchor_id, {O.r6('value')} AS score FROM s")
+@query("rel_dispatch", f"WITH {scored()} SELECT query_id, t_id AS target_id, a_id AS anchor_id, {O.r9('value')} AS score FROM s")
 def rel_dispatch(x: Tables) -> DataFrame:
     """Each phrase's own relation between its class and its anchor's class: a branch for each family, pruned by what the batch asks for."""
-    return resolver.scored_pairs(x.utterances, x.objects, x.rooms).select("query_id", F.col("t_id").alias("target_id"), F.col("a_id").alias("anchor_id"), r6(F.col("value")).alias("score"))
+    return resolver.scored_pairs(x.utterances, x.objects, x.rooms).select("query_id", F.col("t_id").alias("target_id"), F.col("a_id").alias("anchor_id"), r9(F.col("value")).alias("score"))
 
 
-@query("constraint_apply", f"WITH {scored()},{_BEST.rstrip()} SELECT query_id, t_id AS target_id, {O.r6('score')} AS score FROM c")
+@query("constraint_apply", f"WITH {scored()},{_BEST.rstrip()} SELECT query_id, t_id AS target_id, {O.r9('score')} AS score FROM c")
 def constraint_apply(x: Tables) -> DataFrame:
     """For each candidate the best score over its query's anchors."""
     best = resolver.combine(resolver.best_anchor(resolver.scored_pairs(x.utterances, x.objects, x.rooms)))
-    return best.select("query_id", "target_id", r6(F.col("score")).alias("score"))
+    return best.select("query_id", "target_id", r9(F.col("score")).alias("score"))
 
 
-@query("candidate_combine", f"WITH {scored()},{_BEST.rstrip()} SELECT query_id, t_id AS target_id, {O.r6('score')} AS score FROM c WHERE score > 0.05E0")
+@query("candidate_combine", f"WITH {scored()},{_BEST.rstrip()} SELECT query_id, t_id AS target_id, {O.r9('score')} AS score FROM c WHERE score > 0.05E0")
 def candidate_combine(x: Tables) -> DataFrame:
     """Relation terms times label agreement (1 here: classes match exactly), of candidates with some chance."""
     best = resolver.combine(resolver.best_anchor(resolver.scored_pairs(x.utterances, x.objects, x.rooms)), F.lit(1.0))
-    return best.where("score > 0.05").select("query_id", "target_id", r6(F.col("score")).alias("score"))
+    return best.where("score > 0.05").select("query_id", "target_id", r9(F.col("score")).alias("score"))
 
 
-@query("survivor_filter", f"WITH {scored()},{_BEST.rstrip()} SELECT query_id, count(*) AS survivors, {O.r6('max(score)')} AS best FROM r GROUP BY query_id")
+@query("survivor_filter", f"WITH {scored()},{_BEST.rstrip()} SELECT query_id, count(*) AS survivors, {O.r9('max(score)')} AS best FROM r GROUP BY query_id")
 def survivor_filter(x: Tables) -> DataFrame:
     rows = resolver.ranked(resolver.combine(resolver.best_anchor(resolver.scored_pairs(x.utterances, x.objects, x.rooms))))
-    return rows.groupBy("query_id").agg(F.count("*").alias("survivors"), r6(F.max("score")).alias("best"))
+    return rows.groupBy("query_id").agg(F.count("*").alias("survivors"), r9(F.max("score")).alias("best"))
 
 
 _FLAGS = "(score > 1e-9 AND score - second <= greatest(0.04E0, 0.08E0 * score)) IS TRUE"
 
 
-@query("resolve", f"WITH {scored()},{_BEST.rstrip()} SELECT query_id, scene_id, {O.r6('score')} AS score, {O.r6('second')} AS second, {_FLAGS} AS score_tie, score < 0.12E0 AS weak_match FROM r WHERE rank = 1")
+@query("resolve", f"WITH {scored()},{_BEST.rstrip()} SELECT query_id, scene_id, {O.r9('score')} AS score, {O.r9('second')} AS second, {_FLAGS} AS score_tie, score < 0.12E0 AS weak_match FROM r WHERE rank = 1")
 def resolve(x: Tables) -> DataFrame:
     """The answer's score, the runner-up's, and the flags of each query; ids of exact ties are left to resolve_answers."""
     rows = resolver.resolve(x.utterances, x.objects, x.rooms)
-    return rows.select("query_id", "scene_id", r6(F.col("score")).alias("score"), r6(F.col("second")).alias("second"), "score_tie", "weak_match")
+    return rows.select("query_id", "scene_id", r9(F.col("score")).alias("score"), r9(F.col("second")).alias("second"), "score_tie", "weak_match")
 
 
 @query("resolve_answers", f"WITH {scored()},{_BEST.rstrip()} SELECT query_id, t_id AS target_id FROM r WHERE rank = 1 AND (second IS NULL OR score - second > 1e-6) AND score > 1e-6")
@@ -94,10 +94,10 @@ def resolve_answers(x: Tables) -> DataFrame:
 
 for _k in ("intrinsic", "addressee", "world"):
 
-    @query(f"resolve_{_k}", f"WITH {scored(_k)},{_BEST.rstrip()} SELECT query_id, {O.r6('score')} AS score, score < 0.12E0 AS no_answer FROM r WHERE rank = 1")
+    @query(f"resolve_{_k}", f"WITH {scored(_k)},{_BEST.rstrip()} SELECT query_id, {O.r9('score')} AS score, score < 0.12E0 AS no_answer FROM r WHERE rank = 1")
     def _forced(x: Tables, k: str = _k) -> DataFrame:
         rows = resolver.resolve(x.utterances, x.objects, x.rooms, k)
-        return rows.select("query_id", r6(F.col("score")).alias("score"), F.col("weak_match").alias("no_answer"))
+        return rows.select("query_id", r9(F.col("score")).alias("score"), F.col("weak_match").alias("no_answer"))
 
 
 @query("resolve_force_frame", None)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vocabulary as V
-from ..functions.geometry import r6
+from ..functions.geometry import r9
 from ..operators import parsing
 from . import oracle as O
 from .catalog import query
@@ -86,30 +86,30 @@ def scene_labels_counts(x: Tables) -> DataFrame:
     return x.objects.groupBy("scene_id", "label").agg(F.count("*").alias("n"), F.count("front_x").alias("with_front"))
 
 
-@query("scene_scale", f"SELECT scene_id, {O.r6('greatest(1.0E0, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0) + (ceiling_z - floor_z) * (ceiling_z - floor_z)))')} AS scale FROM fx_rooms")
+@query("scene_scale", f"SELECT scene_id, {O.r9('greatest(1.0E0, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0) + (ceiling_z - floor_z) * (ceiling_z - floor_z)))')} AS scale FROM fx_rooms")
 def scene_scale(x: Tables) -> DataFrame:
     from ..operators import frames
 
-    return x.rooms.select("scene_id", r6(frames.room_scale()).alias("scale"))
+    return x.rooms.select("scene_id", r9(frames.room_scale()).alias("scale"))
 
 
 _DIST = "SELECT k, label, m, least(1.0E0, (0.1E0 + CAST(k % 5 AS DOUBLE) / 10) / 0.35E0) AS p FROM (SELECT k, label, CASE WHEN label = 'chair' THEN 1.0E0 WHEN regexp_extract(label, '[^ ]+$') = 'chair' THEN 0.6E0 WHEN suffix('chair', label) OR suffix(label, 'chair') THEN 0.7E0 WHEN contains(label, 'chair') OR contains('chair', label) THEN 0.5E0 ELSE 0.0E0 END AS m FROM n) z"
 
 
-@query("label_distribution_score", f"WITH {_NORMAL} SELECT k, {O.r6('m * p')} AS score FROM ({_DIST}) d WHERE m > 0")
+@query("label_distribution_score", f"WITH {_NORMAL} SELECT k, {O.r9('m * p')} AS score FROM ({_DIST}) d WHERE m > 0")
 def label_distribution_score(x: Tables) -> DataFrame:
     """Agreement of a stored (label, probability) with the class asked for: match times probability over 0.35."""
     stored = F.array(F.struct(F.col("label"), (0.1 + F.col("k") % 5 / 10).alias("prob")))
     best = F.array_max(F.transform(stored, lambda s: X.label_match(F.lit("chair"), s["label"]) * F.least(F.lit(1.0), s["prob"] / 0.35)))
-    return labels(x).select("k", r6(best).alias("score")).where("score > 0")
+    return labels(x).select("k", r9(best).alias("score")).where("score > 0")
 
 
-@query("colour_score", f"SELECT k, {O.r6('greatest(0.05E0, least(1.0E0, greatest(0.0E0, 1.0E0 - sqrt(((r - 0.72E0) * (r - 0.72E0) + (g - 0.15E0) * (g - 0.15E0) + (b - 0.15E0) * (b - 0.15E0))) / sqrt(3.0E0) / 0.55E0)))')} AS red FROM (SELECT p_partkey AS k, CAST(p_partkey % 16 AS DOUBLE) / 16 AS r, CAST(p_partkey % 8 AS DOUBLE) / 8 AS g, CAST(p_partkey % 4 AS DOUBLE) / 4 AS b FROM part) c")
+@query("colour_score", f"SELECT k, {O.r9('greatest(0.05E0, least(1.0E0, greatest(0.0E0, 1.0E0 - sqrt(((r - 0.72E0) * (r - 0.72E0) + (g - 0.15E0) * (g - 0.15E0) + (b - 0.15E0) * (b - 0.15E0))) / sqrt(3.0E0) / 0.55E0)))')} AS red FROM (SELECT p_partkey AS k, CAST(p_partkey % 16 AS DOUBLE) / 16 AS r, CAST(p_partkey % 8 AS DOUBLE) / 8 AS g, CAST(p_partkey % 4 AS DOUBLE) / 4 AS b FROM part) c")
 def colour_score(x: Tables) -> DataFrame:
     """How far an object's mean colour is the colour word; never below 0.05."""
     k = F.col("p_partkey")
     rgb = [(k % n).cast("double") / n for n in (16, 8, 4)]
-    return x.source("part").select(k.alias("k"), r6(parsing.colour_score(F.array(F.lit("red")), *rgb)).alias("red"))
+    return x.source("part").select(k.alias("k"), r9(parsing.colour_score(F.array(F.lit("red")), *rgb)).alias("red"))
 
 
 @query("landmark_lookup", "SELECT scene_id, arg_max(id, hx * hy * hz * 1000000 - id / 1000000.0E0) AS id FROM fx_objects WHERE label = 'gear' GROUP BY scene_id")
@@ -119,14 +119,14 @@ def landmark_lookup(x: Tables) -> DataFrame:
     return x.objects.where("label = 'gear'").groupBy("scene_id").agg(F.max_by("id", size).alias("id"))
 
 
-@query("openvocab_similarity", "WITH c AS (SELECT e.vec_id, e.label, t.label AS text_label, list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(t.embedding AS DOUBLE[])) AS sim FROM embeddings e JOIN (SELECT * FROM embeddings WHERE vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label)) t ON TRUE) SELECT vec_id, CAST(text_label AS BIGINT) AS text_label, " + O.r6("least(1.0E0, greatest(0.0E0, (sim - 0.06E0) / 0.2E0))") + " AS score FROM c")
+@query("openvocab_similarity", "WITH c AS (SELECT e.vec_id, e.label, t.label AS text_label, list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(t.embedding AS DOUBLE[])) AS sim FROM embeddings e JOIN (SELECT * FROM embeddings WHERE vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label)) t ON TRUE) SELECT vec_id, CAST(text_label AS BIGINT) AS text_label, " + O.r9("least(1.0E0, greatest(0.0E0, (sim - 0.06E0) / 0.2E0))") + " AS score FROM c")
 def openvocab_similarity(x: Tables) -> DataFrame:
     """Cosine of every object's embedding with one vector per label, rescaled; the vectors of texts are one a label, so they are broadcast if small."""
     e = x.source("embeddings")
     first = e.groupBy("label").agg(F.min("vec_id").alias("vec_id"))
     texts = e.join(first, ["label", "vec_id"]).select(F.col("label").cast("long").alias("text_label"), F.col("embedding").alias("t"))
     sim = F.aggregate(F.zip_with("embedding", "t", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda acc, v: acc + v)
-    return e.join(texts).select("vec_id", "text_label", r6(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (sim - 0.06) / 0.2))).alias("score"))
+    return e.join(texts).select("vec_id", "text_label", r9(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (sim - 0.06) / 0.2))).alias("score"))
 
 
 _RICH = "SELECT query_id, {} FROM fx_utterances_rich"
