@@ -121,13 +121,13 @@ def item_split(x: Tables) -> DataFrame:
     return items(x).groupingSets([[], [F.col("relation_type")], [F.col("difficulty")]], "relation_type", "difficulty").agg(F.count("*").alias("n"), F.count_if("ambiguous").alias("ambiguous"))
 
 
-@query("item_order_queue", f"WITH {_ITEMS} SELECT query_id, row_number() OVER (ORDER BY CASE WHEN relation_type LIKE 'projective%' THEN 0 ELSE 1 END, CASE difficulty WHEN 'hard' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, scene_id, query_id) AS place FROM it WHERE scene_id = 0")
+@query("item_order_queue", f"WITH {_ITEMS} SELECT query_id, row_number() OVER (PARTITION BY scene_id ORDER BY CASE WHEN relation_type LIKE 'projective%' THEN 0 ELSE 1 END, CASE difficulty WHEN 'hard' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, query_id) AS place FROM it")
 def item_order_queue(x: Tables) -> DataFrame:
-    """A scene's annotation queue: most informative first."""
+    """Each scene's annotation queue: most informative first."""
     rank = F.when(F.col("relation_type").startswith("projective"), 0).otherwise(1)
     hard = F.when(F.col("difficulty") == "hard", 0).when(F.col("difficulty") == "medium", 1).otherwise(2)
     w = Window.partitionBy("scene_id").orderBy(rank, hard, "query_id")
-    return items(x).where("scene_id = 0").select("query_id", F.row_number().over(w).cast("long").alias("place"))
+    return items(x).select("query_id", F.row_number().over(w).cast("long").alias("place"))
 
 
 _MENTION = "(o.label = u.target OR o.label = u.anchor)"

@@ -119,12 +119,12 @@ def scene_payload(x: Tables) -> DataFrame:
     return p.select("scene_id", F.size(F.from_json("payload", "objects array<struct<id:long>>")["objects"]).cast("long").alias("objects"))
 
 
-@query("src_synthetic_benchmark", "SELECT v.name, o.id FROM (VALUES ('a', 'gear', 1.0E0, 1.0E0), ('b', 'plate', 3.0E0, 2.0E0), ('c', 'bolt', 0.0E0, 5.0E0)) AS v(name, label, x, y) JOIN fx_objects o ON o.scene_id = 0 AND o.label = v.label QUALIFY row_number() OVER (PARTITION BY v.name ORDER BY round((o.cx - v.x) * (o.cx - v.x) + (o.cy - v.y) * (o.cy - v.y), 9), o.id) = 1")
+@query("src_synthetic_benchmark", "SELECT o.scene_id, v.name, o.id FROM (VALUES ('a', 'gear', 1.0E0, 1.0E0), ('b', 'plate', 3.0E0, 2.0E0), ('c', 'bolt', 0.0E0, 5.0E0)) AS v(name, label, x, y) JOIN fx_objects o ON o.label = v.label QUALIFY row_number() OVER (PARTITION BY o.scene_id, v.name ORDER BY round((o.cx - v.x) * (o.cx - v.x) + (o.cy - v.y) * (o.cy - v.y), 9), o.id) = 1")
 def src_synthetic_benchmark(x: Tables) -> DataFrame:
     """Items located by class and nearest position."""
     v = x.spark.createDataFrame([("a", "gear", 1.0, 1.0), ("b", "plate", 3.0, 2.0), ("c", "bolt", 0.0, 5.0)], "name string, label string, x double, y double")
     d = F.round((F.col("cx") - F.col("x")) ** 2 + (F.col("cy") - F.col("y")) ** 2, 9)
-    return x.objects.where("scene_id = 0").join(v, "label").groupBy("name").agg(F.min_by("id", F.struct(d.alias("d"), "id")).alias("id"))
+    return x.objects.join(v, "label").groupBy("scene_id", "name").agg(F.min_by("id", F.struct(d.alias("d"), "id")).alias("id"))
 
 
 @query("resolution_export", f"WITH {scored()},{_BEST.rstrip()} SELECT query_id, least(count(*), 12) AS listed, {O.r9('max(score)')} AS top FROM r GROUP BY query_id")
@@ -205,14 +205,14 @@ def viz_best_joint_view(x: Tables) -> DataFrame:
     return worst.groupBy("scene_id", "target").agg(r9(F.max("worst")).alias("worst"))
 
 
-@query("viz_depth_buffer", "SELECT p.scene_id, CAST(floor((320 + 500 * s / d) / 16) AS BIGINT) AS px, round(min(d), 9) AS depth FROM (SELECT q.scene_id, (q.x - p.ex) * p.fwd_x + (q.y - p.ey) * p.fwd_y AS d, (q.x - p.ex) * p.fwd_y - (q.y - p.ey) * p.fwd_x AS s FROM fx_points q JOIN fx_poses p ON p.scene_id = q.scene_id AND p.idx = 0) p WHERE d > 0.1E0 GROUP BY 1, 2")
+@query("viz_depth_buffer", "SELECT p.scene_id, p.idx, CAST(floor((320 + 500 * s / d) / 16) AS BIGINT) AS px, round(min(d), 9) AS depth FROM (SELECT q.scene_id, p.idx, (q.x - p.ex) * p.fwd_x + (q.y - p.ey) * p.fwd_y AS d, (q.x - p.ex) * p.fwd_y - (q.y - p.ey) * p.fwd_x AS s FROM fx_points q JOIN fx_poses p ON p.scene_id = q.scene_id) p WHERE d > 0.1E0 GROUP BY 1, 2, 3")
 def viz_depth_buffer(x: Tables) -> DataFrame:
-    """Nearest depth of each picture column from the first pose."""
-    rows = x.points.join(x.poses.where("idx = 0"), "scene_id")
+    """Nearest depth of each column of each pose's picture."""
+    rows = x.points.join(x.poses, "scene_id")
     d = (F.col("x") - F.col("ex")) * F.col("fwd_x") + (F.col("y") - F.col("ey")) * F.col("fwd_y")
     s = (F.col("x") - F.col("ex")) * F.col("fwd_y") - (F.col("y") - F.col("ey")) * F.col("fwd_x")
-    rows = rows.select("scene_id", d.alias("d"), s.alias("s")).where("d > 0.1")
-    return rows.groupBy("scene_id", F.floor((320 + 500 * F.col("s") / F.col("d")) / 16).alias("px")).agg(F.round(F.min("d"), 9).alias("depth"))
+    rows = rows.select("scene_id", "idx", d.alias("d"), s.alias("s")).where("d > 0.1")
+    return rows.groupBy("scene_id", "idx", F.floor((320 + 500 * F.col("s") / F.col("d")) / 16).alias("px")).agg(F.round(F.min("d"), 9).alias("depth"))
 
 
 @query("cli_find_gif", f"SELECT u.query_id, {O.r9('max(o.cx) - min(o.cx)')} AS spread FROM fx_utterances u JOIN fx_objects o ON o.scene_id = u.scene_id AND o.label = u.target WHERE u.relation_type LIKE 'projective%' GROUP BY u.query_id HAVING max(o.cx) - min(o.cx) <= 5.5E0")

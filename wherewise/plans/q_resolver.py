@@ -63,11 +63,11 @@ def constraint_apply(x: Tables) -> DataFrame:
     return best.select("query_id", "target_id", r9(F.col("score")).alias("score"))
 
 
-@query("candidate_combine", f"WITH {scored()},{_BEST.rstrip()} SELECT query_id, t_id AS target_id, {O.r9('score')} AS score FROM c WHERE score > 0.05E0")
+@query("candidate_combine", f"WITH {scored()},{_BEST.rstrip()} SELECT query_id, t_id AS target_id, {O.r9('score')} AS score FROM c")
 def candidate_combine(x: Tables) -> DataFrame:
-    """Relation terms times label agreement (1 here: classes match exactly), of candidates with some chance."""
+    """Relation terms times label agreement (1 here: classes match exactly)."""
     best = resolver.combine(resolver.best_anchor(resolver.scored_pairs(x.utterances, x.objects, x.rooms)), F.lit(1.0))
-    return best.where("score > 0.05").select("query_id", "target_id", r9(F.col("score")).alias("score"))
+    return best.select("query_id", "target_id", r9(F.col("score")).alias("score"))
 
 
 @query("survivor_filter", f"WITH {scored()},{_BEST.rstrip()} SELECT query_id, count(*) AS survivors, {O.r9('max(score)')} AS best FROM r GROUP BY query_id")
@@ -189,9 +189,9 @@ def sens_summarise(x: Tables) -> DataFrame:
     )
 
 
-@query("sens_measure", f"{_FOUR} SELECT query_id, relation_type, egocentric AS policy, world FROM m WHERE relation_type = 'projective_lateral'")
+@query("sens_measure", f"{_FOUR} SELECT query_id, relation_type, egocentric AS policy, world FROM m")
 def sens_measure(x: Tables) -> DataFrame:
-    rows = resolver.answers(x.utterances.where("relation_type = 'projective_lateral'"), x.objects, x.rooms)
+    rows = resolver.answers(x.utterances, x.objects, x.rooms)
     return rows.select("query_id", "relation_type", F.col("egocentric").alias("policy"), "world")
 
 
