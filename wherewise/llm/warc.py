@@ -159,7 +159,8 @@ def write_warc(pages: DataFrame, uri: str, id_col: str = "page_id", url_col: str
     roles = with_key.join(F.broadcast(groups) if few else groups, ["sha1", "x", "n"], "left")
     roles = roles.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("original")), F.col("original")).alias("refers_to"), cell("page_id").alias("cell"))
     dealt = roles.join(cells, "cell", "left").select((F.coalesce("shard", F.lit(0)) + F.pmod(F.xxhash64("page_id"), F.coalesce("parts", F.lit(1))).cast("int")).alias("shard"), "page_id", "url", "html", "refers_to")
-    dealt = dealt.repartition(max(1, min(at + 1, 200_000)), "shard").sortWithinPartitions("shard", "page_id", "url", "html")
+    # a shard is a partition: by hash some partitions would get several and some none
+    dealt = dealt.repartitionById(max(1, min(at + 1, 200_000)), F.col("shard")).sortWithinPartitions("shard", "page_id", "url", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(uri)
