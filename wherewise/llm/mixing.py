@@ -18,6 +18,7 @@ The number of sources, unlike that of documents, is assumed to fit one task.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -31,8 +32,6 @@ from .common import WORD, cut, text_of
 
 #: Words of a block; slots of an output shard; share of all words; most passes over a source; weights of sources in turn.
 BLOCK, SLOTS, SHARE, REPEAT, WEIGHTS, SEED = 128, 4096, 1.5, 2.0, (5.0, 2.0, 1.0), 20240501
-#: Documents of a bucket of a source, about.
-BUCKET = 4096
 
 _M = np.uint64
 
@@ -122,7 +121,7 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     text = F.col(text_col)
     base = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), _size(text).alias("size"), F.xxhash64(text_of(text)).alias("row_key")), "mix-base")
     sources = cut(source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), share, repeat, weights), "mix-sources")
-    buckets = max(1, base.count() // BUCKET)
+    buckets = max(1, math.isqrt(base.count()))  # as many buckets as documents in one: both levels of the sums stay small
     rows = base.join(sources, base["source"].eqNullSafe(sources["source"])).select("doc_id", base["source"], "size", "row_key", "place", "source_size", "target")
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "row_key"), F.lit(buckets)))
 
