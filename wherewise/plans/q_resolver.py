@@ -123,7 +123,7 @@ def amb_weak_match(x: Tables) -> DataFrame:
 def anchor_resolve(x: Tables) -> DataFrame:
     """The at most six anchors of each class and scene: equally good ones by volume."""
     w = Window.partitionBy("scene_id", "label").orderBy((F.col("hx") * F.col("hy") * F.col("hz")).desc(), "id")
-    return x.objects.withColumn("a_rank", F.row_number().over(w)).where("a_rank <= 6").select("scene_id", F.col("label").alias("anchor"), "a_rank", F.col("id").alias("anchor_id"))
+    return x.objects.withColumn("a_rank", F.row_number().over(w)).where("a_rank <= 6").select("scene_id", F.col("label").alias("anchor"), F.col("a_rank").cast("long").alias("a_rank"), F.col("id").alias("anchor_id"))
 
 
 @query(
