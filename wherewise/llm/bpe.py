@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 #: Pieces that a worker remembers (about 300 bytes each), and pairs of tokens (about 150); when full, all are forgotten.
 MEMO, PAIRS = 300_000, 100_000
+#: Characters of a piece beyond which it is not remembered.
+LONG_PIECE = 200
 
 
 class Bpe:
@@ -134,13 +136,13 @@ class Bpe:
         try:
             return list(chain.from_iterable([memo[p] for p in pieces]))
         except KeyError:
+            if len(memo) >= MEMO:
+                memo.clear()
+            once: dict[str, tuple[int, ...]] = {}  # long pieces hardly come again
             for p in pieces:
-                if p not in memo:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                        return list(chain.from_iterable([self.encode_piece(x.encode()) for x in pieces]))
-                    memo[p] = tuple(self.encode_piece(p.encode()))
-            return list(chain.from_iterable([memo[p] for p in pieces]))
+                if p not in memo and p not in once:
+                    (memo if len(p) <= LONG_PIECE else once)[p] = tuple(self.encode_piece(p.encode()))
+            return list(chain.from_iterable([memo[p] if p in memo else once[p] for p in pieces]))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
