@@ -52,18 +52,25 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def exact_dedup_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
     """The rows of docs that stay, with the columns of docs; one of the rows that repeat id and text alike."""
-    found = cut(exact_dedup(docs, id_col, text_col).where("group_size > 1").select("doc_id", "kept", "norm_length", "prefix_hash"), "dedup-found")
+    found = cut(exact_dedup(docs, id_col, text_col).where("group_size > 1").select("doc_id", "kept", "norm_length", "prefix_hash", "text_sha256"), "dedup-found")
     norm = without_blanks(F.col(text_col))
+    full = F.sha2(norm, 256)
+    fits = lambda d: d.limit(broadcast_groups + 1).count() <= broadcast_groups
+    gone = found.where("not kept").select("doc_id", "text_sha256").distinct()
+    again = found.where("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("rows")).where("rows > 1")
     # internal names that a table of documents will hardly have; they are dropped below
-    keyed = docs.select("*", F.octet_length(norm).alias("__len"), F.xxhash64(F.substring(norm, 1, PREFIX)).alias("__pre"))
-    same = lambda d: keyed[id_col].eqNullSafe(d["doc_id"]) & (keyed["__len"] == d["norm_length"]) & (keyed["__pre"] == d["prefix_hash"])
-    gone = found.where("not kept").select("doc_id", "norm_length", "prefix_hash").distinct()
-    small = lambda d: F.broadcast(d) if d.limit(broadcast_groups + 1).count() <= broadcast_groups else d
-    again = found.where("kept").groupBy("doc_id", "norm_length", "prefix_hash").agg(F.count("*").alias("rows")).where("rows > 1")
-    stay = keyed.join(small(gone), same(gone), "left_anti")
+    hints = found.select(F.col("doc_id").alias("__id"), F.col("norm_length").alias("__n"), F.col("prefix_hash").alias("__p"), F.lit(True).alias("__hint")).distinct()
+    if fits(hints):  # ids may be null or repeated: only the full hash tells the text, and few rows need it
+        keyed = docs.select("*", F.octet_length(norm).alias("__len"), F.xxhash64(F.substring(norm, 1, PREFIX)).alias("__pre"))
+        keyed = keyed.join(F.broadcast(hints), keyed[id_col].eqNullSafe(hints["__id"]) & (keyed["__len"] == hints["__n"]) & (keyed["__pre"] == hints["__p"]), "left")
+        keyed = keyed.withColumn("__sha", F.when(F.col("__hint"), full)).drop("__len", "__pre", "__id", "__n", "__p", "__hint")
+    else:
+        keyed = docs.withColumn("__sha", full)
+    small = lambda d: F.broadcast(d) if fits(d) else d
+    same = lambda x, d: x[id_col].eqNullSafe(d["doc_id"]) & (x["__sha"] == d["text_sha256"])
+    stay = keyed.join(small(gone), same(keyed, gone), "left_anti")
     if not again.isEmpty():
         again = small(again)
-        one = stay.join(again, stay[id_col].eqNullSafe(again["doc_id"]) & (stay["__len"] == again["norm_length"]) & (stay["__pre"] == again["prefix_hash"]), "left_semi")
-        rest = stay.join(again, stay[id_col].eqNullSafe(again["doc_id"]) & (stay["__len"] == again["norm_length"]) & (stay["__pre"] == again["prefix_hash"]), "left_anti")
-        stay = rest.unionByName(one.withColumn("__norm", without_blanks(F.col(text_col))).dropDuplicates([id_col, "__norm"]).drop("__norm"))
-    return stay.drop("__len", "__pre")
+        one = stay.join(again, same(stay, again), "left_semi").dropDuplicates([id_col, "__sha"])
+        stay = stay.join(again, same(stay, again), "left_anti").unionByName(one)
+    return stay.drop("__sha")
