@@ -13,6 +13,9 @@ from wherewise.llm import bpe, exact_dedup, minhash_dedup, mixing, toxicity
 from wherewise.llm.common import cut, table
 from wherewise.llm.queries import bpe_files
 
+#: Near copies are pairs of 0.8 or more; of 80 equal minima such a pair has 64 on average, and fewer than 38 with odds below 1e-10.
+NEAR_PERCENT, NEAR_FLOOR = 80, 38
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -23,7 +26,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash_dedup.near_dedup_filter(docs)
+    return minhash_dedup.near_dedup_filter(docs, percent=NEAR_PERCENT, floor=NEAR_FLOOR)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,10 @@
 """Cases in which operators did less than the whole job."""
 
+import random
+
 import pytest
 
+import corpus_pipeline
 from wherewise.llm import exact_dedup
 
 TEMPLATE = "Permission is granted to use this file under the licence below. " * 2
@@ -16,3 +19,45 @@ def test_exact_filter_loses_no_text_of_shared_ids(make, most):
     got = exact_dedup.exact_dedup_filter(docs, broadcast_groups=most)
     assert got.columns == docs.columns
     assert sorted(r["text"] for r in got.collect()) == sorted({t for _, t, _ in rows})
+
+
+def shingles(text):
+    w = text.split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def test_pipeline_near_dedup_against_brute_force(spark, make):
+    rng = random.Random(11)
+    rows = []
+    for g in range(30):  # pairs on both sides of 0.8 and of 0.85: each changed word takes five shingles of 116
+        words = [f"g{g}w{i}" for i in range(120)]
+        for k in range(3):
+            w = list(words)
+            for at in rng.sample(range(6, 114, 9), k and rng.randrange(1, 5)):
+                w[at] = f"g{g}k{k}x{at}"
+            rows.append((10 * g + k, " ".join(w), "s"))
+    hot = [f"h{i}" for i in range(100)]  # a bucket with several components
+    for k in range(60):
+        w = list(hot)
+        for at in rng.sample(range(100), rng.randrange(8)):
+            w[at] = f"y{rng.randrange(10**6)}"
+        rows.append((5000 + k, " ".join(w), "s"))
+    sets = {i: shingles(t) for i, t, _ in rows}
+
+    def first_ids(percent):
+        parent = {i: i for i in sets}
+
+        def root(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for a in sets:
+            for b in sets:
+                if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                    p, q = sorted((root(a), root(b)))
+                    parent[q] = p
+        return {i for i in sets if root(i) == i}
+
+    got = [r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, make(rows), "").collect()]
+    assert sorted(got) == sorted(first_ids(80)) and first_ids(80) != first_ids(85)

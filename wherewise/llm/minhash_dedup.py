@@ -4,14 +4,14 @@
    BANDS band keys and a 128-bit digest of the set. Only these narrow rows go on; texts with equal sets form a class, whose
    smallest id stands for it from here on.
 2. Each bucket (band, key) links its members to its smallest one: linear in the bucket, never all pairs. Pairs whose
-   signatures agree too little are dropped (SIGNATURE_FLOOR is so low that a pair at the threshold is lost with odds below
+   signatures agree too little are dropped (the floor is so low that a pair at the threshold is lost with odds below
    1e-9), the rest are confirmed on full sets.
 3. Components of the confirmed links. Buckets that still hold several components are compared exactly between components,
    block against block of at most BLOCK members, as products of 0/1 matrices; a block pair returns a spanning forest of its
    links, so no link that would join components is lost however large a bucket is, and no group meets in one task.
 4. Components again, by large-star and small-star.
 
-A pair at the threshold of 0.85 shares no band with odds (1 - 0.85^4)^20 = 4e-7.
+The threshold is a parameter. A pair at 0.85 shares no band with odds (1 - 0.85^4)^20 = 4e-7, a pair at 0.8 with 3e-5.
 
 Cases: null and blank texts have an empty set and are linked with nothing. Rows with a null id are returned with a null
 component, kept. Rows that repeat an id count as one document with all their links. Ties don't arise: the smallest id wins.
@@ -35,9 +35,9 @@ from .shingles import shingle_sets
 #: Words of a shingle; minima of a signature; bands of ROWS minima each.
 WORDS, BANDS, ROWS = 5, 20, 4
 PERMUTATIONS = BANDS * ROWS
-#: Links: 100 * |intersection| >= PERCENT * |union|.
+#: Links: 100 * |intersection| >= percent * |union|; this is the default.
 PERCENT = 85
-#: Least number of equal minima of a candidate (of 80; a pair at 0.85 has 68 on average, 3.2 standard deviation).
+#: Least number of equal minima of a candidate (of 80; a pair at 0.85 has 68 on average, 3.2 standard deviation), for PERCENT.
 SIGNATURE_FLOOR = 44
 #: Most members of a block in the exact comparison between components.
 BLOCK = 384
@@ -101,22 +101,22 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1).to_pylist(), WORDS)], pa.binary())], names=["doc_id", "shingles"])
 
 
-def _linked(inter, a, b):
-    return 100 * inter >= PERCENT * (a + b - inter)
+def _linked(inter, a, b, percent: int):
+    return 100 * inter >= percent * (a + b - inter)
 
 
-def _confirm_star(pdf: pd.DataFrame) -> pd.DataFrame:
+def _confirm_star(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Members of a group against its centre, on full sets."""
     sets = [np.frombuffer(s, dtype=np.uint64) for s in pdf["shingles"]]
     ids = pdf["doc_id"].to_numpy()
     centre = int(pdf["centre"].iloc[0])
     at = int(np.flatnonzero(ids == centre)[0])
     mine = sets[at]
-    out = [int(d) for d, s in zip(ids, sets, strict=True) if d != centre and _linked(len(np.intersect1d(mine, s, assume_unique=True)), len(mine), len(s))]
+    out = [int(d) for d, s in zip(ids, sets, strict=True) if d != centre and _linked(len(np.intersect1d(mine, s, assume_unique=True)), len(mine), len(s), percent)]
     return pd.DataFrame({"a": np.full(len(out), centre, dtype="int64"), "b": np.array(out, dtype="int64")})
 
 
-def _confirm_block(pdf: pd.DataFrame) -> pd.DataFrame:
+def _confirm_block(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     """All members of one block against all of another (or of the same), between components; a spanning forest of what is linked."""
     pdf = pdf.drop_duplicates("doc_id")
     ids, comp = pdf["doc_id"].to_numpy(), pdf["component"].to_numpy()
@@ -138,7 +138,7 @@ def _confirm_block(pdf: pd.DataFrame) -> pd.DataFrame:
         m = np.zeros((n, min(4096, len(common) - lo)), dtype=np.float32)
         m[row[i:j], col[i:j] - lo] = 1
         inter += m @ m.T
-    found = _linked(inter.astype(np.int64), size[:, None], size[None, :]) & (comp[:, None] != comp[None, :])
+    found = _linked(inter.astype(np.int64), size[:, None], size[None, :], percent) & (comp[:, None] != comp[None, :])
     parent = {c: c for c in set(comp.tolist())}
 
     def root(c):
@@ -155,8 +155,9 @@ def _confirm_block(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
-def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept (doc_id = component_id)."""
+def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, floor: int = SIGNATURE_FLOOR) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept (doc_id = component_id). Links are pairs of percent / 100 or more;
+    candidates need at least floor equal minima."""
     sk = cut(sketches(docs, id_col, text_col), "minhash-sketch")
     known = sk.where("cls is not null and doc_id is not null")
     rep = known.groupBy("cls").agg(F.min("doc_id").alias("rep"))
@@ -180,14 +181,14 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pairs = full.where("doc_id <> centre").select("centre", "doc_id").distinct()
     sigs = reps.select("doc_id", "sig")
     both = pairs.join(sigs.withColumnRenamed("sig", "s"), "doc_id").join(sigs.select(F.col("doc_id").alias("centre"), F.col("sig").alias("c")), "centre")
-    near = cut(both.where(agreement("s", "c") >= SIGNATURE_FLOOR).select("centre", "doc_id"), "minhash-pairs")
+    near = cut(both.where(agreement("s", "c") >= floor).select("centre", "doc_id"), "minhash-pairs")
 
     spread = near.groupBy("centre").agg(F.count("*").alias("n"))
     cell = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / GROUP)).cast("int")
     stars = near.join(spread, "centre").select("centre", cell.alias("cell"), "doc_id")
     grouped = stars.union(stars.select("centre", "cell", F.col("centre").alias("doc_id")).distinct())
     sets = with_sets(near.select("doc_id").union(near.select("centre")))
-    edges = cut(grouped.join(sets, "doc_id").groupBy("centre", "cell").applyInPandas(_confirm_star, "a long, b long"), "minhash-links")
+    edges = cut(grouped.join(sets, "doc_id").groupBy("centre", "cell").applyInPandas(lambda pdf: _confirm_star(pdf, percent), "a long, b long"), "minhash-links")
     first = components(edges)
 
     # buckets that still hold several components
@@ -201,7 +202,7 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     left = cut(left.join(one, ["band", "key"], "left_semi"), "minhash-open")
     blocks = _blocks(left)
     sets2 = with_sets(left.select("doc_id"))
-    more = blocks.join(sets2, "doc_id").groupBy("band", "key", "i", "j").applyInPandas(_confirm_block, "a long, b long")
+    more = blocks.join(sets2, "doc_id").groupBy("band", "key", "i", "j").applyInPandas(lambda pdf: _confirm_block(pdf, percent), "a long, b long")
     last = components(edges.union(more).union(member))
 
     out = sk.select("doc_id", "n_shingles").join(last.withColumnRenamed("id", "doc_id"), "doc_id", "left")
@@ -229,9 +230,9 @@ def _blocks(left: DataFrame) -> DataFrame:
     return x.select("band", "key", "doc_id", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
 
-def near_dedup_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, floor: int = SIGNATURE_FLOOR) -> DataFrame:
     """The rows of docs that stay, with the columns of docs: of each component the document with the smallest id. Rows with a null id stay."""
-    gone = minhash_components(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = minhash_components(docs, id_col, text_col, percent, floor).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
     gone = cut(gone, "minhash-gone")
     if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)

@@ -26,7 +26,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_dedup.minhash_components(table(spark, sf_dir, "documents"))
+    return minhash_dedup.minhash_components(table(spark, sf_dir, "documents"), percent=85, floor=44)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
