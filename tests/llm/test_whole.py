@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from wherewise.llm import exact_dedup
+from wherewise.llm import exact_dedup, line_dedup
 
 TEMPLATE = "Permission is granted to use this file under the licence below. " * 2
 
@@ -61,3 +61,14 @@ def test_pipeline_near_dedup_against_brute_force(spark, make):
 
     got = [r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, make(rows), "").collect()]
     assert sorted(got) == sorted(first_ids(80)) and first_ids(80) != first_ids(85)
+
+
+def test_lines_of_rows_that_share_an_id(make):
+    passage = "\n".join(f"Line {i} of a passage that many documents share." for i in range(14))
+    own = "\n".join(f"Unique line {i} of a row without an id." for i in range(40))
+    rows = [(None, own, "s"), (None, passage, "s"), (None, f"Own start.\n{passage}\nOwn end.", "s"), (3, own.replace("Unique", "Other"), "s"), (3, f"Three.\n{passage}", "s")]
+    got = {r["n_lines"]: r["text"] for r in line_dedup.line_dedup(make(rows)).collect() if r["n_lines"] in (15, 16)}
+    whole = {r["text"] for r in line_dedup.line_dedup(make(rows)).collect()}
+    assert own in whole and own.replace("Unique", "Other") in whole
+    texts = [*got.values(), *(t for t in whole if t.startswith("Line 0"))]
+    assert sum("Line 6 of" in t for t in texts) == 1

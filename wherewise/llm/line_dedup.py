@@ -8,8 +8,8 @@ place) stays; others go if they equal it byte for byte.
 Texts move only as far as chunks repeat: keys are counted first, a second pass over the texts gives the repeated chunks with
 their bytes. The list of what goes is joined to the documents at the end.
 
-Cases: a null text is an empty one and is returned as it is. Blank lines are lines. Rows that repeat the id of a first chunk's
-document keep that chunk. A text that loses all its lines becomes empty. A null id counts as smaller than all others. Other
+Cases: a null text is an empty one and is returned as it is. Blank lines are lines. Rows are told apart by id and text hash; rows that
+repeat both keep a first chunk alike. A text that loses all its lines becomes empty. A null id counts as smaller than all others. Other
 columns are not looked at.
 """
 
@@ -65,23 +65,24 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, place, first, end, key, chunk) of multi-line chunks."""
+    """Rows (doc_id, row, place, first, end, key, chunk) of multi-line chunks; row is the hash of the text."""
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
-            ids, place, first, end, key, body = [], [], [], [], [], []
-            for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            ids, row, place, first, end, key, body = [], [], [], [], [], [], []
+            for d, x, t in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                 lines = (t or "").split("\n")
                 for i, (a, b) in enumerate(chunks(lines)):
                     if b - a >= 2:
                         text = "\n".join(lines[a:b])
                         ids.append(d)
+                        row.append(x)
                         place.append(i)
                         first.append(a)
                         end.append(b)
                         key.append(_key(text))
                         body.append(text)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(place, pa.int32()), pa.array(first, pa.int32()), pa.array(end, pa.int32()), pa.array(key, pa.int64()), pa.array(body, pa.string())], names=["doc_id", "place", "first", "end", "key", "chunk"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(row, pa.int64()), pa.array(place, pa.int32()), pa.array(first, pa.int32()), pa.array(end, pa.int32()), pa.array(key, pa.int64()), pa.array(body, pa.string())], names=["doc_id", "row", "place", "first", "end", "key", "chunk"])
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,18 +105,18 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_keys: int = BROADCAST_KEYS, broadcast_docs: int = BROADCAST_DOCS) -> DataFrame:
     """One row per input row: doc_id, n_lines, n_chunks, removed_chunks, removed_lines, removed_chars, text (what stays)."""
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
     keys = base.select("text").mapInArrow(_count, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     keys = cut(keys, "lines-keys")
     few = keys.limit(broadcast_keys + 1).count() <= broadcast_keys
-    listed = base.mapInArrow(_list, "doc_id long, place int, first int, end int, key long, chunk string")
+    listed = base.mapInArrow(_list, "doc_id long, row long, place int, first int, end int, key long, chunk string")
     again = cut(listed.join(F.broadcast(keys) if few else keys, "key", "left_semi"), "lines-repeats")
     # as a table of its own it leaves both sides of the join plain exchanges, which can be split when one key is everywhere
-    where = F.struct("doc_id", "place")
+    where = F.struct("doc_id", "row", "place")
     kept = cut(again.groupBy("key").agg(F.min_by("chunk", where).alias("original"), F.min(where).alias("at")), "lines-kept")
-    gone = again.join(kept, "key").where((F.col("chunk") == F.col("original")) & ~(F.col("doc_id").eqNullSafe(F.col("at.doc_id")) & (F.col("place") == F.col("at.place"))))
-    lists = gone.select("doc_id", "first", "end").distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first", "end"))).alias("gone"))
-    lists = cut(lists, "lines-gone").withColumnRenamed("doc_id", "gone_id")
+    gone = again.join(kept, "key").where((F.col("chunk") == F.col("original")) & ~(F.col("doc_id").eqNullSafe(F.col("at.doc_id")) & (F.col("row") == F.col("at.row")) & (F.col("place") == F.col("at.place"))))
+    lists = gone.select("doc_id", "row", "first", "end").distinct().groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("first", "end"))).alias("gone"))
+    lists = cut(lists, "lines-gone").withColumnRenamed("doc_id", "gone_id").withColumnRenamed("row", "gone_row")
     small = lists.limit(broadcast_docs + 1).count() <= broadcast_docs
-    out = base.join(F.broadcast(lists) if small else lists, base["doc_id"].eqNullSafe(lists["gone_id"]), "left").select("doc_id", "text", "gone")
+    out = base.join(F.broadcast(lists) if small else lists, base["doc_id"].eqNullSafe(lists["gone_id"]) & (base["row"] == lists["gone_row"]), "left").select("doc_id", "text", "gone")
     return out.mapInArrow(_apply, "doc_id long, n_lines long, n_chunks long, removed_chunks long, removed_lines long, removed_chars long, text string")
