@@ -72,3 +72,16 @@ def test_lines_of_rows_that_share_an_id(make):
     assert own in whole and own.replace("Unique", "Other") in whole
     texts = [*got.values(), *(t for t in whole if t.startswith("Line 0"))]
     assert sum("Line 6 of" in t for t in texts) == 1
+
+
+def test_lines_planted_passages_go_whole(make):
+    first, later = [], []
+    for p in range(100):  # of 2 to 6 lines, between other neighbours
+        passage = [f"Passage {p} line {i}: {p * 7919 % 1009} {i * 31 % 17}." for i in range(2 + p % 5)]
+        first.append((p, "\n".join([*(f"Before {p} {k}." for k in range(3)), *passage, f"Behind {p}."]), "s"))
+        later.append((1000 + p, "\n".join([f"Ahead {p}.", *passage, *(f"After {p} {k}." for k in range(4))]), "s"))
+    got = {r["doc_id"]: r for r in line_dedup.line_dedup(make(first + later)).collect()}
+    assert all(got[i]["text"] == t and not got[i]["removed_lines"] for i, t, _ in first)
+    whole = [p for p in range(100) if "Passage" not in got[1000 + p]["text"]]
+    lost = [p for p in range(100) if got[1000 + p]["n_lines"] - got[1000 + p]["removed_lines"] < 5]
+    assert (len(whole), len(lost)) == (100, 0)

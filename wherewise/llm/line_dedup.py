@@ -1,15 +1,20 @@
-"""Line dedup: content-defined chunks of lines; multi-line chunks that repeat anywhere in the corpus are removed.
+"""Line dedup: passages of two lines or more that repeat anywhere in the corpus are removed, found by rolling hash.
 
-A rolling hash over the hashes of the last ROLL lines ends a chunk where it falls in one of DIVISOR classes, so boundaries
-depend on nearby lines only and come back in step behind an insertion; a chunk has MIN_LINES to MAX_LINES lines. Chunks of
-at least two lines are counted by 64-bit key over all documents. Of a repeated key the first chunk (smallest id, then
-place) stays; others go if they equal it byte for byte.
+Two levels. At the finer one every place ends a chunk: the rolling hash over each two neighbouring lines is a key, counted over
+all documents. So a chunk lies inside every shared run of two lines or more, whatever stands around it, and a run grows line by
+line as its chunks overlap. Of a repeated key the first pair of lines (smallest id, text hash, then place) stays; others go if they
+equal it byte for byte. A line that belongs to a first pair stays also where another pair would take it, so each repeated pair is
+left whole once. Lines that repeat singly, between other neighbours, stay.
 
-Texts move only as far as chunks repeat: keys are counted first, a second pass over the texts gives the repeated chunks with
+At the coarser level the rolling hash ends a chunk where it falls in one of DIVISOR classes, so boundaries depend on nearby lines
+only and come back in step behind an insertion; a chunk has MIN_LINES to MAX_LINES lines. These chunks are what n_chunks counts,
+and removed_chunks those of them that lost lines.
+
+Texts move only as far as pairs repeat: keys are counted first, a second pass over the texts gives the repeated pairs with
 their bytes. The list of what goes is joined to the documents at the end.
 
 Cases: a null text is an empty one and is returned as it is. Blank lines are lines. Rows are told apart by id and text hash; rows that
-repeat both keep a first chunk alike. A text that loses all its lines becomes empty. A null id counts as smaller than all others. Other
+repeat both keep a first pair alike. A text that loses all its lines becomes empty. A null id counts as smaller than all others. Other
 columns are not looked at.
 """
 
@@ -17,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -30,16 +36,16 @@ ROLL, DIVISOR, MIN_LINES, MAX_LINES = 2, 2, 2, 16
 BROADCAST_KEYS, BROADCAST_DOCS = 1_000_000, 200_000
 
 _MASK = (1 << 64) - 1
+_BASE = 0x9E3779B97F4A7C15
 
 
 def chunks(lines: list[str], roll: int = ROLL, divisor: int = DIVISOR, least: int = MIN_LINES, most: int = MAX_LINES) -> list[tuple[int, int]]:
     """(first, end) line numbers of the chunks of a text. The last chunk may be shorter than `least`."""
-    base = 0x9E3779B97F4A7C15
-    drop = pow(base, roll, 1 << 64)
+    drop = pow(_BASE, roll, 1 << 64)
     hashes = [xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in lines]
     out, start, rolling = [], 0, 0
     for i, h in enumerate(hashes):
-        rolling = (rolling * base + h) & _MASK
+        rolling = (rolling * _BASE + h) & _MASK
         if i >= roll:
             rolling = (rolling - hashes[i - roll] * drop) & _MASK
         n = i + 1 - start
@@ -51,38 +57,33 @@ def chunks(lines: list[str], roll: int = ROLL, divisor: int = DIVISOR, least: in
     return out
 
 
-def _key(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+def pair_keys(lines: list[str]) -> np.ndarray:
+    """The rolling hash over lines i and i + 1, for each i."""
+    h = np.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in lines], dtype=np.uint64)
+    return (h[:-1] * np.uint64(_BASE) + h[1:]).view(np.int64)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys = []
-        for t in batch.column(0).to_pylist():
-            lines = (t or "").split("\n")
-            keys += [_key("\n".join(lines[a:b])) for a, b in chunks(lines) if b - a >= 2]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64())], names=["key"])
+        keys = [pair_keys(t.split("\n")) for t in batch.column(0).to_pylist() if t]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, dtype=np.int64), *keys]), pa.int64())], names=["key"])
 
 
 def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, row, place, first, end, key, chunk) of multi-line chunks; row is the hash of the text."""
+    """Rows (doc_id, row, first, key, chunk) of the pairs of neighbouring lines; row is the hash of the text."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            ids, row, place, first, end, key, body = [], [], [], [], [], [], []
+        for at in range(0, batch.num_rows, 128):
+            part = batch.slice(at, 128)
+            ids, row, first, key, body = [], [], [], [], []
             for d, x, t in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                 lines = (t or "").split("\n")
-                for i, (a, b) in enumerate(chunks(lines)):
-                    if b - a >= 2:
-                        text = "\n".join(lines[a:b])
-                        ids.append(d)
-                        row.append(x)
-                        place.append(i)
-                        first.append(a)
-                        end.append(b)
-                        key.append(_key(text))
-                        body.append(text)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(row, pa.int64()), pa.array(place, pa.int32()), pa.array(first, pa.int32()), pa.array(end, pa.int32()), pa.array(key, pa.int64()), pa.array(body, pa.string())], names=["doc_id", "row", "place", "first", "end", "key", "chunk"])
+                n = len(lines) - 1
+                ids += [d] * n
+                row += [x] * n
+                first += range(n)
+                key += pair_keys(lines).tolist()
+                body += [f"{a}\n{b}" for a, b in zip(lines, lines[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(row, pa.int64()), pa.array(first, pa.int32()), pa.array(key, pa.int64()), pa.array(body, pa.string())], names=["doc_id", "row", "first", "key", "chunk"])
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,12 +93,14 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             for d, t, gone in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                 lines = (t or "").split("\n")
-                n = len(chunks(lines)) if t else 0
-                out = set()
+                parts = chunks(lines) if t else []
+                out, stay = set(), set()
                 for g in gone or []:
-                    out.update(range(g["first"], g["end"]))
+                    (stay if g["stays"] else out).update((g["first"], g["first"] + 1))
+                out -= stay
+                lost = sum(any(i in out for i in range(a, b)) for a, b in parts) if out else 0
                 clean = t if not out else "\n".join(x for i, x in enumerate(lines) if i not in out)
-                rows.append((d, len(lines) if t else 0, n, len(gone or []), len(out), len(t or "") - len(clean or ""), clean))
+                rows.append((d, len(lines) if t else 0, len(parts), lost, len(out), len(t or "") - len(clean or ""), clean))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
             types = [pa.int64(), *[pa.int64()] * 5, pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, types, strict=True)], names=["doc_id", "n_lines", "n_chunks", "removed_chunks", "removed_lines", "removed_chars", "text"])
@@ -109,13 +112,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keys = base.select("text").mapInArrow(_count, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     keys = cut(keys, "lines-keys")
     few = keys.limit(broadcast_keys + 1).count() <= broadcast_keys
-    listed = base.mapInArrow(_list, "doc_id long, row long, place int, first int, end int, key long, chunk string")
+    listed = base.mapInArrow(_list, "doc_id long, row long, first int, key long, chunk string")
     again = cut(listed.join(F.broadcast(keys) if few else keys, "key", "left_semi"), "lines-repeats")
     # as a table of its own it leaves both sides of the join plain exchanges, which can be split when one key is everywhere
-    where = F.struct("doc_id", "row", "place")
+    where = F.struct("doc_id", "row", "first")
     kept = cut(again.groupBy("key").agg(F.min_by("chunk", where).alias("original"), F.min(where).alias("at")), "lines-kept")
-    gone = again.join(kept, "key").where((F.col("chunk") == F.col("original")) & ~(F.col("doc_id").eqNullSafe(F.col("at.doc_id")) & (F.col("row") == F.col("at.row")) & (F.col("place") == F.col("at.place"))))
-    lists = gone.select("doc_id", "row", "first", "end").distinct().groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("first", "end"))).alias("gone"))
+    stays = F.col("doc_id").eqNullSafe(F.col("at.doc_id")) & (F.col("row") == F.col("at.row")) & (F.col("first") == F.col("at.first"))
+    equal = again.join(kept, "key").where(F.col("chunk") == F.col("original")).select("doc_id", "row", "first", stays.alias("stays"))
+    lists = equal.distinct().groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("first", "stays"))).alias("gone")).where(F.exists("gone", lambda g: ~g["stays"]))
     lists = cut(lists, "lines-gone").withColumnRenamed("doc_id", "gone_id").withColumnRenamed("row", "gone_row")
     small = lists.limit(broadcast_docs + 1).count() <= broadcast_docs
     out = base.join(F.broadcast(lists) if small else lists, base["doc_id"].eqNullSafe(lists["gone_id"]) & (base["row"] == lists["gone_row"]), "left").select("doc_id", "text", "gone")
