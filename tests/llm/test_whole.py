@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from wherewise.llm import exact_dedup, line_dedup
+from wherewise.llm import exact_dedup, line_dedup, secrets
 
 TEMPLATE = "Permission is granted to use this file under the licence below. " * 2
 
@@ -85,3 +85,15 @@ def test_lines_planted_passages_go_whole(make):
     whole = [p for p in range(100) if "Passage" not in got[1000 + p]["text"]]
     lost = [p for p in range(100) if got[1000 + p]["n_lines"] - got[1000 + p]["removed_lines"] < 5]
     assert (len(whole), len(lost)) == (100, 0)
+
+
+def test_secrets_beside_harmless_parts_and_of_letters_only(make):
+    secret = "q7Zt4Lw8Pb3Vn6Rc1Yd5mK2x"
+    texts = {
+        1: "KqZtLwPbVnRcYdHmJxGfTs", 2: f"0123456789{secret}", 3: f"{secret}/abcdefghijklmnop", 4: "x/KqZtLwPbVnRcYdHmJxGfTs12",
+        5: "usr/share/documents/Public/userGuides/index12", 6: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 7: f"sha256-{secret}G9hJ0sAfEuBiT7oXq1z=",
+    }
+    got = {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["entropy"]] for r in secrets.find_secrets(make([(i, t, "s") for i, t in texts.items()])).collect()}
+    assert got[1] == [texts[1]] and len(got[4]) == 1
+    assert all(len(got[i]) == 1 and secret in got[i][0] for i in (2, 3))
+    assert not got[5] and not got[6] and not got[7], got

@@ -7,8 +7,9 @@ Candidates are runs of at least WIDTH characters of [A-Za-z0-9+/_=-] with letter
 letter. A candidate belongs to the narrowest class that holds it (hex, alnum, base64), each with a threshold of its own. A
 window of WIDTH characters slides over it: counts of characters change by the one that enters and the one that leaves, and the
 sum of c log2 c with them, so the entropy log2 WIDTH - sum / WIDTH costs the same at each step. From the first to the last
-window at or above the threshold is a span of kind entropy, unless an allow-list pattern holds the candidate or a base span
-covers it.
+window at or above the threshold is a span of kind entropy, unless an allow-list pattern holds the whole candidate or a
+base span covers it. Windows that lie by half or more in harmless parts (alphabets, rows of digits, integrity values) don't count,
+so what stands beside such a part is still judged.
 
 Only DataFrame operations. Cases: a null text is an empty one (no spans). Positions are code points, ends exclusive. Repeated
 rows are returned as they are. Other columns are not looked at.
@@ -39,14 +40,15 @@ THRESHOLDS = {"hex": 3.0, "alnum": 3.6, "base64": 3.9}
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 TELLING = r"(?:[0-9].*[A-Za-z]|[A-Za-z].*[0-9]|[a-z][A-Z])"
-#: Harmless strings of high entropy: UUIDs, alphabets and rows of digits, integrity values, paths of words.
+#: A part of a path that looks like a word: short, in one case or with one capital. Longer ones are judged by entropy.
+_PART = r"(?=[A-Za-z]{1,15}(?![A-Za-z]))(?:[A-Z]+|[a-z]*[A-Z]?[a-z]*)"
+#: Harmless candidates of high entropy: UUIDs and paths of words.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"(?i)abcdefghijklmnop",
-    r"0123456789",
-    r"^sha(?:256|384|512)-",
-    r"^[/_=-]*(?:[A-Za-z]+[/_=-]+)*[A-Za-z]+[0-9]{0,4}$",
+    rf"^[/_=-]*(?:{_PART}[/_=-]+)*{_PART}[0-9]{{0,4}}$",
 )
+#: Harmless parts of candidates: alphabets with rows of digits, integrity values.
+HARMLESS = r"(?:(?i:abcdefghijklmnop(?:qrstuvwxyz)?)|0123456789)+|^sha(?:256-[A-Za-z0-9+/_-]{43}|384-[A-Za-z0-9+/_-]{64}|512-[A-Za-z0-9+/_-]{86})=*"
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -97,21 +99,23 @@ def window_entropy(value: Column, width: int = WIDTH) -> Column:
 
 
 def entropy_spans(text: Column) -> Column:
-    """Spans of kind entropy: of each candidate that no allow-list pattern holds, from the first to the last window above the threshold."""
+    """Spans of kind entropy: of each candidate that no allow-list pattern holds, from the first to the last window above the threshold
+    that lies by more than half outside harmless parts."""
     allowed = "|".join(f"(?:{p})" for p in ALLOWED)
     telling = F.filter(spans_of(text, CANDIDATE, "entropy"), lambda s: s["value"].rlike(TELLING) & ~s["value"].rlike(allowed))
     limit = lambda v: F.when(v.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), THRESHOLDS["hex"]).when(v.rlike("^[A-Za-z0-9]+$"), THRESHOLDS["alnum"]).otherwise(THRESHOLDS["base64"])
 
     def narrow(s: Column) -> Column:
         def cut(x: Column) -> Column:
-            high = F.transform(x["h"], lambda e: e >= x["limit"])
+            inside = lambda i: F.aggregate(x["harmless"], F.lit(0), lambda acc, g: acc + F.greatest(F.lit(0), F.least(i + WIDTH, g["end"]) - F.greatest(i, g["start"])))
+            high = F.transform(x["h"], lambda e, i: (e >= x["limit"]) & (2 * inside(i) < WIDTH))
             first = F.array_position(high, True)
             last = F.size(high) - F.array_position(F.reverse(high), True)
             start = s["start"] + first - 1
             end = s["start"] + last + WIDTH
             return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit("entropy").alias("kind"), F.when(first > 0, F.substring(s["value"], first.cast("int"), (end - start).cast("int"))).alias("value"))
 
-        return let(F.struct(window_entropy(s["value"]).alias("h"), limit(s["value"]).cast("double").alias("limit")), cut)
+        return let(F.struct(window_entropy(s["value"]).alias("h"), limit(s["value"]).cast("double").alias("limit"), spans_of(s["value"], HARMLESS, "harmless").alias("harmless")), cut)
 
     found = F.filter(F.transform(telling, narrow), lambda s: s["value"].isNotNull())
     return F.when(text.rlike(CANDIDATE), found).otherwise(no_spans()).cast(SPANS)
