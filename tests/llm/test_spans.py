@@ -104,3 +104,51 @@ def test_entropy_spans(make):
     found = {SECRET_TEXTS[-1][s["start"] : s["end"]] for s in by[1]["entropy"]}
     assert found == {"sk-9fK2mQx7Zt4Lw8Pb3Vn6Rc1Yd5"}
     assert by[1]["redacted"].startswith("[SECRET] 550e8400-") and by[2]["redacted"] is None and not by[2]["entropy"]
+
+
+def brute_found(text):
+    """Entropy spans by looking at each window anew."""
+    out = []
+    for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", text):
+        v = m[0]
+        if not (re.search("[0-9]", v) and re.search("[A-Za-z]", v) or re.search("[a-z][A-Z]", v)) or any(re.search(p.replace("++", "+").replace("*+", "*"), v) for p in secrets.ALLOWED):
+            continue
+        limit = secrets.THRESHOLDS["hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", v) else "alnum" if re.fullmatch("[A-Za-z0-9]+", v) else "base64"]
+        harmless = {i for h in re.finditer(secrets.HARMLESS, v) for i in range(h.start(), h.end())}
+        high = [i for i, e in enumerate(brute_entropy(v)) if e >= limit - 1e-9 and 2 * len(harmless & set(range(i, i + 20))) < 20]
+        if high:
+            out.append((m.start() + high[0], m.start() + high[-1] + 20))
+    return out
+
+
+def test_entropy_spans_against_brute_force(make):
+    import random
+
+    rng = random.Random(4)
+    parts = ["0123456789", "abcdefghijklmnop", "/usr/share/", "aaaaaaaaaaaa", "deadbeef01", "fileName", "=", "sha256-", "-" * 5]
+    texts = [" ".join("".join(rng.choice(parts) if rng.random() < 0.4 else "".join(rng.choice(secrets.ALPHABET) for _ in range(rng.randrange(1, 30))) for _ in range(rng.randrange(1, 5))) for _ in range(12)) for _ in range(60)]
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["entropy"]] for r in secrets.find_secrets(make([(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    base = lambda t: [(s, e) for _, s, e in brute(t, SECRETS)]
+    assert got == {i: [(a, b) for a, b in brute_found(t) if not any(s <= a and e >= b for s, e in base(t))] for i, t in enumerate(texts)}
+    assert sum(map(len, got.values())) > 100
+
+
+def test_long_candidates_and_many_spans(make):
+    import random
+
+    rng = random.Random(6)
+    run = "".join(rng.choice(secrets.ALPHABET) for _ in range(30_000))
+    texts = ["a/" * 500_000 + "aB", run, "1" * 300_000, " ".join(f"password=abc{i:05}x" for i in range(5000)), "é " + "0123456789xY" * 3000]
+    got = {r["doc_id"]: r for r in secrets.find_secrets(make([(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert [len(got[i]["entropy"]) for i in range(5)] == [0, 1, 0, 0, 0] and got[3]["n_assign"] == 5000
+    assert got[1]["redacted"] == "[SECRET]" and got[3]["redacted"] == " ".join(["[SECRET]"] * 5000)
+
+
+def test_overlapping_spans_are_redacted_once(spark):
+    from wherewise.llm.spans import merged
+
+    spans = [(5, 9), (0, 3), (2, 4), (8, 12), (20, 21), (4, 5), (6, 7)]
+    col = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in spans])
+    got = spark.range(1).select(merged(col).alias("m"), secrets.redacted(F.lit("0123456789abcdefghijklmnopq"), col).alias("t")).first()
+    assert [tuple(x) for x in got["m"]] == [(0, 4), (4, 5), (5, 12), (20, 21)]
+    assert got["t"] == "[SECRET][SECRET][SECRET]cdefghij[SECRET]lmnopq"
