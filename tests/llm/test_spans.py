@@ -152,3 +152,93 @@ def test_overlapping_spans_are_redacted_once(spark):
     got = spark.range(1).select(merged(col).alias("m"), secrets.redacted(F.lit("0123456789abcdefghijklmnopq"), col).alias("t")).first()
     assert [tuple(x) for x in got["m"]] == [(0, 4), (4, 5), (5, 12), (20, 21)]
     assert got["t"] == "[SECRET][SECRET][SECRET]cdefghij[SECRET]lmnopq"
+
+
+def brute_disclosing(texts):
+    """Terms that disclose an entity, by plain counting: {term: action}."""
+    import math
+    from collections import defaultdict
+
+    once = sorted({t or "" for t in texts})
+    values, kinds, words, around = {}, {}, {}, defaultdict(set)
+    for t in once:
+        found = [(k, t[s:e]) for k, s, e in brute(t, PII)]
+        values[t] = set(found)
+        kinds[t] = {k for k, _ in found}
+        words[t] = set(re.findall(r"[^\W_]{3,}", t.lower()))
+        if found:
+            masked = list(re.finditer("|".join(f"(?:{p})" for _, p, _ in PII) + r"|(?P<term>[^\W_]{3,})", t.lower()))
+            for a, m, b in zip([None, *masked], masked, [*masked[1:], None], strict=False):
+                if m["term"]:
+                    around[m["term"]].add((a and a[0], b and b[0]))
+            words[t] = {m["term"] for m in masked if m["term"]}
+    private = [t for t in once if values[t]]
+    outside = defaultdict(int)
+    for t in texts:
+        if not values[t or ""]:
+            for w in words[t or ""]:
+                outside[w] += 1
+    out = {}
+
+    def judge(term, n_te, n_t, n_e):
+        p = n_e / len(once)
+        odds = (n_te + pii.PRIOR * p) / (n_t + pii.PRIOR)
+        if p < 1 and odds >= pii.EVEN:
+            share = math.log2(odds / p) / -math.log2(p)
+            if share >= pii.GENERALISE:
+                out[term] = max(out.get(term, ""), "remove" if share >= pii.REMOVE else "generalise")
+
+    for term in {w for t in private for w in words[t]}:
+        here = [t for t in private if term in words[t]]
+        for k in {k for t in here for k in kinds[t]}:
+            both = [t for t in here if k in kinds[t]]
+            # the operator tells texts apart by one value of the kind; these texts have one each
+            n_te = len({min(v for v in values[t] if v[0] == k) for t in both})
+            judge(term, n_te, outside[term] + len(here) - len(both) + n_te, sum(k in kinds[t] for t in once))
+        fresh = min(1.0, len(around[term]) / len(here))
+        for v in {v for t in here for v in values[t]}:
+            n_e = sum(v in values[t] for t in once)
+            if n_e > 1:
+                judge(term, sum(v in values[t] for t in here) * fresh, outside[term] + len(here) * fresh, n_e)
+    return out
+
+
+def private_texts():
+    import random
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice(["ba", "do", "ke", "li", "mu", "ra", "so", "ti"]) for _ in range(rng.randrange(2, 5)))
+    filler = [word() for _ in range(300)]
+    texts = []
+    for i in range(260):
+        w = [rng.choice(filler) for _ in range(rng.randrange(5, 40))] + [f"rare{rng.randrange(150)}"]
+        if i % 9 == 0:  # one person's name with their address, in two to five texts, not always close by
+            w.insert(rng.randrange(len(w)), f"anna{i % 5}")
+            w.insert(rng.randrange(len(w)), f"anna{i % 5}@mail.org")
+        if i % 7 == 0:  # a word that goes with telephones
+            w += ["dial", f"+49 30 {1000000 + i}"]
+        if i % 31 == 0:
+            w.insert(0, f"anna{i % 5}")
+        rng.shuffle(w)
+        texts.append(" ".join(w))
+    return [*texts, texts[0], texts[9], texts[9] + " copy", None, ""]
+
+
+def test_terms_against_brute_force(make):
+    texts = private_texts()
+    want = brute_disclosing(texts)
+    assert "dial" in want and any(w.startswith("anna") for w in want)
+    for few in (0, 10**6):
+        got = {r["doc_id"]: r for r in pii.find_private(make([(i, t, "s") for i, t in enumerate(texts)]), broadcast_terms=few, broadcast_texts=few).collect()}
+        for i, t in enumerate(texts):
+            base = [(s, e) for _, s, e in brute(t, PII)]
+            spans = [(m.start(), m.end(), want[m[0].lower()]) for m in re.finditer(r"[^\W_]{3,}", t or "") if m[0].lower() in want]
+            assert [(s["start"], s["end"], s["value"]) for s in got[i]["terms"]] == [x for x in spans if not any(x[0] < e and x[1] > s for s, e in base)]
+    elsewhere = [r for i, r in got.items() if r["terms"] and not r["base"]]
+    assert all("@" not in r["sanitised"] or "[" in r["sanitised"] for r in elsewhere)
+
+
+def test_many_spans_in_one_text(make):
+    text = " ".join(f"u{i}@m{i}.org" for i in range(6000))
+    got = {r["doc_id"]: r for r in pii.find_private(make([(1, text, "s"), (2, text + " x", "s"), (3, "a b c", "s")])).collect()}
+    assert got[1]["n_email"] == 6000 and got[1]["sanitised"] == " ".join(["[EMAIL]"] * 6000) and got[3]["sanitised"] is None

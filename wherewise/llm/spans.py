@@ -82,9 +82,9 @@ def replaced(text: Column, spans: Column, put: Callable[[Column], Column]) -> Co
     return let(spans, lambda x: F.when(F.size(x) == 0, text).otherwise(pieces(x)))
 
 
-def merged(spans: Column) -> Column:
-    """(start, end) of what spans cover, sorted; overlapping ones become one."""
-    flat = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+def merged(spans: Column, *fields: str) -> Column:
+    """(start, end, fields of the first) of what spans cover, sorted; overlapping ones become one."""
+    flat = F.array_sort(F.transform(spans, lambda s: F.struct(*[s[f].alias(f) for f in ("start", "end", *fields)])))
 
     def groups(x: Column) -> Column:
         most = F.array_max(F.transform(x, lambda s: s["end"]))
@@ -92,11 +92,11 @@ def merged(spans: Column) -> Column:
         def heads(y: Column) -> Column:
             at = F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: (i == 0) | (F.get(x, i)["start"] >= F.get(y["before"], i)))
             # the furthest end before the next group, or of all
-            return let(at, lambda h: F.transform(h, lambda i, k: F.struct(F.get(x, i)["start"].alias("start"), F.coalesce(F.get(y["before"], F.get(h, k + 1)), y["most"]).alias("end"))))
+            return let(at, lambda h: F.transform(h, lambda i, k: F.struct(F.get(x, i)["start"].alias("start"), F.coalesce(F.get(y["before"], F.get(h, k + 1)), y["most"]).alias("end"), *[F.get(x, i)[f].alias(f) for f in fields])))
 
         return let(F.struct(running(F.transform(x, lambda s: s["end"]), F.greatest).alias("before"), most.alias("most")), heads)
 
-    return let(flat, lambda x: F.when(F.size(x) == 0, F.array().cast("array<struct<start:int,end:int>>")).otherwise(groups(x)))
+    return let(flat, lambda x: F.when(F.size(x) == 0, F.slice(x, 1, 0)).otherwise(groups(x)))
 
 
 def guarded(hint: Column, text: Column, pattern: str, kind: str, test: Callable[[Column], Column]) -> Column:
