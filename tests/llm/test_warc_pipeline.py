@@ -58,6 +58,29 @@ def test_files_outside_the_list_are_not_read(spark):
     assert warc.read_warc(spark, uri).count() == 2
 
 
+def test_ids_over_the_whole_range_and_of_no_page(spark):
+    rows = [(9 * 10**18, "u", BIG), (-9 * 10**18, "u", BIG), (0, "v", "small"), *((None, f"u{i}", f"{i} " * 400) for i in range(40))]
+    uri = fresh_path(spark, "warc-test")
+    files = warc.write_warc(pages(spark, rows), uri, shard_bytes=8000)
+    assert sorted(((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.read_warc(spark, uri).collect()), key=str) == expected(rows)
+    assert files.select("shard").distinct().count() > 3 and max(f["records"] for f in files.collect()) < 20
+
+
+def test_writing_again_leaves_one_list(spark):
+    uri = fresh_path(spark, "warc-test")
+    with pytest.raises(FileNotFoundError):
+        warc.read_warc(spark, uri)
+    for rows in (ROWS, ROWS[:3]):
+        warc.write_warc(pages(spark, rows), uri)
+        assert warc.read_warc(spark, uri).count() == len(rows)
+    assert sorted(x for x in os.listdir(uri.removeprefix("file://")) if x.startswith("_")) == ["_manifest-00000001"]
+
+
+def test_revisits_say_where_to(spark):
+    text = warc.record(1, "http://a b", b"payload", 2, "http://c d").decode()
+    assert "WARC-Refers-To-Target-URI: http://c%20d\r\n" in text and "WARC-Refers-To-Date: " in text and warc.parse(warc.info("x")) is None
+
+
 def test_damage_is_found():
     good = warc.record(1, "http://x", b"payload", None)
     assert warc.parse(good)["payload"] == b"payload"
@@ -97,7 +120,7 @@ def test_pipeline_stage_by_stage(spark):
     norm = lambda df: ["".join((r["text"] or "").split(" ")).translate({c: None for c in range(9, 14)}) for r in df.collect()]
     assert sorted(norm(after)) == sorted(set(norm(before)))
     before, after = seen["near dedup"]
-    kept = {r["component_id"] for r in minhash_dedup.minhash_components(before).collect()}
+    kept = {r["component_id"] for r in minhash_dedup.minhash_components(before, percent=P.NEAR_PERCENT, floor=P.NEAR_FLOOR).collect()}
     assert {r["doc_id"] for r in after.collect()} == kept
     before, after = seen["mixing"]
     words = {r["doc_id"]: len((r["text"] or "").split()) for r in before.collect()}
