@@ -2,7 +2,7 @@ import pytest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside; a table may have them too.
-CLASHES = ("norm", "open", "rows", "band", "key", "start", "size", "place", "bucket", "terms", "range", "shard", "sha", "a", "b", "component", "text_key", "passes")
+CLASHES = ("norm", "open", "rows", "band", "key", "start", "size", "place", "bucket", "terms", "range", "shard", "sha", "a", "b", "component", "text_key", "passes", "gone", "__len", "__pre", "__sha", "__gone", "__id", "__key", "__row", "__ranges", "norm_length", "prefix_hash", "g_id", "g_sha", "hint", "of_id", "of_key", "ranges", "row")
 
 LONG = " ".join(f"w{i % 997}x{i}" for i in range(30_000))
 BASE = " ".join(f"word{i}" for i in range(200))

@@ -37,6 +37,13 @@ def test_exact_filter_keeps_one_of_each(make, odd):
     assert sorted(kept) == sorted({re.sub(BLANK, "", t or "") for _, t, _ in odd})
 
 
+def test_exact_is_the_same_beyond_every_bound(make, odd):
+    rows = odd + [(100 + i, f"text {i % 40}", "s") for i in range(90)]
+    every = [sorted(map(tuple, exact_dedup.exact_dedup(make(rows), broadcast_groups=most, filter_words=words).collect()), key=str) for most, words in ((10**6, 1 << 20), (0, 1 << 20), (0, 1))]
+    assert every[0] == every[1] == every[2] and {r[5] for r in every[0]} == {"prefix", "full"}
+    assert all((r[4] is None) == (r[5] == "prefix") for r in every[0])
+
+
 def test_exact_full_hash_of_survivors_only(make):
     rows = exact_dedup.exact_dedup(make([(1, "aaa", "s"), (2, "bbbb", "s"), (3, "b bbb", "s")])).collect()
     assert {r["doc_id"]: r["level"] for r in rows} == {1: "prefix", 2: "full", 3: "full"}

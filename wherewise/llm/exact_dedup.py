@@ -2,27 +2,42 @@
 
 Only DataFrame operations. One scan counts rows by (length, prefix hash); groups of one are settled there. A second scan
 computes the full hash of rows in larger groups only, and ends in a narrow table; what follows never touches a text again.
+Which rows are in larger groups is looked up in a broadcast table: of the groups themselves while they are few, else in a filter of
+bits of bounded size that knows all of them (it may take a row of a group of one for one of a larger group, which costs a hash and
+changes no result, as rows are joined to the groups exactly behind the scan).
 
 Cases: a null text is an empty one. Texts are equal when they are identical after deleting [\\x20\\x09-\\x0D]. Of equal
 texts the row with the most code points in the original stays, then the one with the smallest id (null ids last). Rows that
-repeat id and text alike all carry kept = true; exact_dedup_filter leaves one of them. Other columns are not looked at. An
-empty table gives an empty result.
+repeat id and text alike all carry kept = true; exact_dedup_filter leaves one of them. Other columns are not looked at, whatever their
+names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_of, without_blanks
+from .common import cut, free_names, text_of, without_blanks
 
 #: Bytes of the normalised text that the second level hashes.
 PREFIX = 64
-#: Candidate (length, prefix) groups are broadcast up to this many (24 bytes each); beyond it they are joined by shuffle.
-BROADCAST_GROUPS = 500_000
+#: Candidate (length, prefix) groups are broadcast up to this many (24 bytes each); beyond it a filter of this many words of 64 bits is.
+BROADCAST_GROUPS, FILTER_WORDS = 500_000, 1 << 20
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_digest: bool = False, broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
+def _filter_of(groups: DataFrame, words: int) -> DataFrame:
+    """(word, bits): three bits for each group, in one word of 64."""
+    word, bits = _bits(F.col("norm_length"), F.col("prefix_hash"), words)
+    return groups.select(word.alias("word"), bits.alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+
+
+def _bits(length: Column, prefix: Column, words: int) -> tuple[Column, Column]:
+    h = F.xxhash64(length, prefix)
+    one = lambda by: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, by).bitwiseAND(F.lit(63)).cast("int"))
+    return F.pmod(h, F.lit(words)).cast("int"), one(40).bitwiseOR(one(47)).bitwiseOR(one(54))
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_digest: bool = False, broadcast_groups: int = BROADCAST_GROUPS, filter_words: int = FILTER_WORDS) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, level ('prefix' or 'full': where it was settled), norm_length,
     prefix_hash and text_sha256 (of every row if with_digest, else only of those that reached the last level)."""
     # the key columns come last, after all that is needed of the input is named, so clashing names can't interfere
@@ -31,14 +46,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     shared = cut(keyed.groupBy("norm_length", "prefix_hash").agg(F.count("*").alias("rows")).where("rows > 1").select("norm_length", "prefix_hash", F.lit(True).alias("open")), "dedup-prefix")
     full = F.sha2(F.col("norm"), 256)
+    digest = lambda open_: full if with_digest else F.when(open_, full)
     if shared.limit(broadcast_groups + 1).count() <= broadcast_groups:
         marked = keyed.join(F.broadcast(shared), ["norm_length", "prefix_hash"], "left")
-        digest = full if with_digest else F.when(F.col("open"), full)
-        rows = marked.select("doc_id", "n", "norm_length", "prefix_hash", F.coalesce("open", F.lit(False)).alias("open"), digest.alias("sha"))
-    else:  # the texts don't pass through the shuffle: all are hashed before it
-        hashed = keyed.select("doc_id", "n", "norm_length", "prefix_hash", full.alias("sha"))
+        rows = marked.select("doc_id", "n", "norm_length", "prefix_hash", F.coalesce("open", F.lit(False)).alias("open"), digest(F.col("open")).alias("sha"))
+    else:  # texts don't pass through a shuffle
+        word, bits = _bits(F.col("norm_length"), F.col("prefix_hash"), filter_words)
+        marked = keyed.withColumns({"word": word, "own": bits}).join(F.broadcast(_filter_of(shared, filter_words)), "word", "left")
+        hashed = cut(marked.select("doc_id", "n", "norm_length", "prefix_hash", digest(F.col("bits").bitwiseAND(F.col("own")) == F.col("own")).alias("sha")), "dedup-hashed")
         rows = hashed.join(shared, ["norm_length", "prefix_hash"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
-    rows = cut(rows, "dedup-rows")
+        if not with_digest:
+            rows = rows.withColumn("sha", F.when(F.col("open"), F.col("sha")))
+    rows = cut(rows.select("doc_id", "n", "norm_length", "prefix_hash", "open", "sha"), "dedup-rows")
 
     key = ["norm_length", "prefix_hash", "sha"]
     first = F.struct(-F.col("n"), F.col("doc_id").isNull(), F.col("doc_id"))
@@ -52,25 +71,26 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def exact_dedup_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
     """The rows of docs that stay, with the columns of docs; one of the rows that repeat id and text alike."""
-    found = cut(exact_dedup(docs, id_col, text_col).where("group_size > 1").select("doc_id", "kept", "norm_length", "prefix_hash", "text_sha256"), "dedup-found")
+    found = cut(exact_dedup(docs, id_col, text_col, broadcast_groups=broadcast_groups).where("group_size > 1").select("doc_id", "kept", "norm_length", "prefix_hash", "text_sha256"), "dedup-found")
     norm = without_blanks(F.col(text_col))
     full = F.sha2(norm, 256)
     fits = lambda d: d.limit(broadcast_groups + 1).count() <= broadcast_groups
-    gone = found.where("not kept").select("doc_id", "text_sha256").distinct()
-    again = found.where("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("rows")).where("rows > 1")
-    # internal names that a table of documents will hardly have; they are dropped below
-    hints = found.select(F.col("doc_id").alias("__id"), F.col("norm_length").alias("__n"), F.col("prefix_hash").alias("__p"), F.lit(True).alias("__hint")).distinct()
+    own_len, own_pre, own_sha, g_id, g_len, g_pre, g_sha, hint = free_names(docs, "norm_length", "prefix_hash", "sha", "g_id", "g_length", "g_prefix", "g_sha", "hint")
+    as_gone = lambda d: d.select(F.col("doc_id").alias(g_id), F.col("text_sha256").alias(g_sha))
+    gone = as_gone(found.where("not kept").distinct()).distinct()
+    again = as_gone(found.where("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("rows")).where("rows > 1"))
+    hints = found.select(F.col("doc_id").alias(g_id), F.col("norm_length").alias(g_len), F.col("prefix_hash").alias(g_pre), F.lit(True).alias(hint)).distinct()
     if fits(hints):  # ids may be null or repeated: only the full hash tells the text, and few rows need it
-        keyed = docs.select("*", F.octet_length(norm).alias("__len"), F.xxhash64(F.substring(norm, 1, PREFIX)).alias("__pre"))
-        keyed = keyed.join(F.broadcast(hints), keyed[id_col].eqNullSafe(hints["__id"]) & (keyed["__len"] == hints["__n"]) & (keyed["__pre"] == hints["__p"]), "left")
-        keyed = keyed.withColumn("__sha", F.when(F.col("__hint"), full)).drop("__len", "__pre", "__id", "__n", "__p", "__hint")
+        keyed = docs.select("*", F.octet_length(norm).alias(own_len), F.xxhash64(F.substring(norm, 1, PREFIX)).alias(own_pre))
+        keyed = keyed.join(F.broadcast(hints), docs[id_col].eqNullSafe(hints[g_id]) & (keyed[own_len] == hints[g_len]) & (keyed[own_pre] == hints[g_pre]), "left")
+        keyed = keyed.withColumn(own_sha, F.when(F.col(hint), full)).drop(own_len, own_pre, g_id, g_len, g_pre, hint)
     else:
-        keyed = docs.withColumn("__sha", full)
+        keyed = docs.withColumn(own_sha, full)
     small = lambda d: F.broadcast(d) if fits(d) else d
-    same = lambda x, d: x[id_col].eqNullSafe(d["doc_id"]) & (x["__sha"] == d["text_sha256"])
+    same = lambda x, d: x[id_col].eqNullSafe(d[g_id]) & (x[own_sha] == d[g_sha])
     stay = keyed.join(small(gone), same(keyed, gone), "left_anti")
     if not again.isEmpty():
         again = small(again)
-        one = stay.join(again, same(stay, again), "left_semi").dropDuplicates([id_col, "__sha"])
+        one = stay.join(again, same(stay, again), "left_semi").dropDuplicates([id_col, own_sha])
         stay = stay.join(again, same(stay, again), "left_anti").unionByName(one)
-    return stay.drop("__sha")
+    return stay.drop(own_sha)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free_names
 from .components import components
 from .shingles import shingle_sets
 
@@ -232,8 +232,9 @@ def _blocks(left: DataFrame) -> DataFrame:
 
 def near_dedup_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, floor: int = SIGNATURE_FLOOR) -> DataFrame:
     """The rows of docs that stay, with the columns of docs: of each component the document with the smallest id. Rows with a null id stay."""
-    gone = minhash_components(docs, id_col, text_col, percent, floor).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    (name,) = free_names(docs, "gone")
+    gone = minhash_components(docs, id_col, text_col, percent, floor).where("not kept").select(F.col("doc_id").alias(name)).distinct()
     gone = cut(gone, "minhash-gone")
     if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    return docs.join(gone, docs[id_col] == gone[name], "left_anti")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, text_of
+from .common import WORD, cut, free_names, text_of
 
 #: Words of a block; slots of an output shard; share of all words; most passes over a source; weights of sources in turn.
 BLOCK, SLOTS, SHARE, REPEAT, WEIGHTS, SEED = 128, 4096, 1.5, 2.0, (5.0, 2.0, 1.0), 20240501
@@ -182,10 +182,11 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     _, pieces = mixture(docs, id_col, text_col, source_col, **parameters)
     flat = pieces.select("doc_id", "row_key", "from_word", "n_words", F.explode(F.sequence(F.lit(1).cast("long"), F.col("passes"))).alias("pass"))
-    lists = cut(flat.groupBy("doc_id", "row_key", "pass").agg(F.array_sort(F.collect_list(F.struct("from_word", "n_words"))).alias("__ranges")), "mix-lists")
-    lists = lists.select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key"), "__ranges")
-    keyed = docs.withColumn("__row", F.xxhash64(text_of(F.col(text_col))))
-    wide = keyed.join(lists, keyed[id_col].eqNullSafe(lists["__id"]) & (keyed["__row"] == lists["__key"])).select(*[docs[c] for c in docs.columns], "__ranges")
+    own, of_id, of_key, ranges_ = free_names(docs, "row", "of_id", "of_key", "ranges")
+    lists = cut(flat.groupBy("doc_id", "row_key", "pass").agg(F.array_sort(F.collect_list(F.struct("from_word", "n_words"))).alias(ranges_)), "mix-lists")
+    lists = lists.select(F.col("doc_id").alias(of_id), F.col("row_key").alias(of_key), ranges_)
+    keyed = docs.withColumn(own, F.xxhash64(text_of(F.col(text_col))))
+    wide = keyed.join(lists, keyed[id_col].eqNullSafe(lists[of_id]) & (keyed[own] == lists[of_key])).select(*[docs[c] for c in docs.columns], ranges_)
     names, at = docs.columns, docs.columns.index(text_col)
     length = names.index(length_col) if length_col in names else None
 
