@@ -57,6 +57,22 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key is hot with more than one in HOT_SHARE of all rows (and HOT_LEAST of them); its rows are then dealt to SALTS tasks.
+HOT_SHARE, HOT_LEAST, SALTS = 500, 100, 32
+
+
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread: str, size: str = "n") -> DataFrame:
+    """big joined to small (one row a key, with its number of rows in big as `size`) on keys; rows of hot keys are dealt by hash of the column
+    spread, and the row of small goes to each of their tasks. big should be a table, as its rows are counted. There are less than HOT_SHARE
+    hot keys, so these are broadcast."""
+    bound = max(HOT_LEAST, big.count() // HOT_SHARE)
+    hot, salt = free_names(big.join(small.limit(0), keys), "hot", "salt")
+    marks = small.where(F.col(size) > bound).select(*keys, F.lit(True).alias(hot))
+    left = big.join(F.broadcast(marks), keys, "left").withColumn(salt, F.when(F.col(hot), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(0)).drop(hot)
+    every = F.when(F.col(size) > bound, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return left.join(small.withColumn(salt, F.explode(every)), [*keys, salt]).drop(salt)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Removes a folder of the shared store through Hadoop's file system."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -1,14 +1,15 @@
 """MinHash near-dedup: universal hash minima, banding, signature verification, exact confirmation, connected components.
 
-1. Each text becomes its set of 5-word shingles (64-bit hashes), a signature of PERMUTATIONS minima of multiply-add hashes,
-   BANDS band keys and a 128-bit digest of the set. Only these narrow rows go on; texts with equal sets form a class, whose
+1. Each text becomes its set of 5-word shingles (64-bit hashes), a signature of PERMUTATIONS minima of multiply-add hashes
+   (its BANDS parts are the band keys) and a 128-bit digest of the set. Only these narrow rows go on; texts with equal sets form a class, whose
    smallest id stands for it from here on.
 2. Each bucket (band, key) links its members to its smallest one: linear in the bucket, never all pairs. Pairs whose
    signatures agree too little are dropped (the floor is so low that a pair at the threshold is lost with odds below
    1e-9), the rest are confirmed on full sets.
 3. Components of the confirmed links. Buckets that still hold several components are compared exactly between components,
-   block against block of at most BLOCK members, as products of 0/1 matrices; a block pair returns a spanning forest of its
-   links, so no link that would join components is lost however large a bucket is, and no group meets in one task.
+   block against block of about BLOCK members: first by signatures, which leaves the members that have a likely partner in another
+   component, then these on full sets, as products of 0/1 matrices; a block pair returns a spanning forest of its links, so
+   no link that would join components is lost however large a bucket is, and no group meets in one task.
 4. Components again, by large-star and small-star.
 
 The threshold is a parameter. A pair at 0.85 shares no band with odds (1 - 0.85^4)^20 = 4e-7, a pair at 0.8 with 3e-5.
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free_names
+from .common import cut, free_names, salted_join
 from .components import components
 from .shingles import shingle_sets
 
@@ -39,7 +40,7 @@ PERMUTATIONS = BANDS * ROWS
 PERCENT = 85
 #: Least number of equal minima of a candidate (of 80; a pair at 0.85 has 68 on average, 3.2 standard deviation), for PERCENT.
 SIGNATURE_FLOOR = 44
-#: Most members of a block in the exact comparison between components.
+#: Members of a block, about, in the exact comparison between components.
 BLOCK = 384
 #: Ids whose texts are read again are broadcast up to this many (8 bytes each), and beyond it joined by shuffle.
 BROADCAST_IDS = 1_000_000
@@ -72,7 +73,7 @@ def signature(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("sig", pa.binary())])
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
@@ -80,18 +81,16 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             full = [i for i, s in enumerate(sets) if len(s)]
             cls: list = [None] * len(sets)
             sig: list = [None] * len(sets)
-            bands: list = [None] * len(sets)
             if full:
                 minima = signature([sets[i] for i in full])
                 for row, i in zip(minima, full, strict=True):
                     cls[i] = xxhash.xxh3_128_digest(sets[i].tobytes())
                     sig[i] = row.tobytes()
-                    bands[i] = [xxhash.xxh3_64_intdigest(row[ROWS * b : ROWS * (b + 1)].tobytes(), seed=b) - (1 << 63) for b in range(BANDS)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary())], schema=schema)
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_sketch, "doc_id long, n_shingles long, cls binary, sig binary, bands array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_sketch, "doc_id long, n_shingles long, cls binary, sig binary")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,6 +115,20 @@ def _confirm_star(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame({"a": np.full(len(out), centre, dtype="int64"), "b": np.array(out, dtype="int64")})
 
 
+def _likely(pdf: pd.DataFrame, floor: int) -> pd.DataFrame:
+    """The members of a pair of blocks that have at least floor equal minima with a member of another component."""
+    pdf = pdf.drop_duplicates("doc_id")
+    comp = pdf["component"].to_numpy()
+    sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint32).reshape(len(pdf), PERMUTATIONS)
+    stays = np.zeros(len(pdf), dtype=bool)
+    for lo in range(0, len(pdf), 256):
+        equal = np.zeros((len(pdf[lo : lo + 256]), len(pdf)), dtype=np.uint8)
+        for i in range(PERMUTATIONS):
+            equal += sig[lo : lo + 256, i, None] == sig[None, :, i]
+        stays[lo : lo + 256] = ((equal >= floor) & (comp[lo : lo + 256, None] != comp[None, :])).any(axis=1)
+    return pdf.loc[stays, ["band", "key", "i", "j", "doc_id", "component"]]
+
+
 def _confirm_block(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     """All members of one block against all of another (or of the same), between components; a spanning forest of what is linked."""
     pdf = pdf.drop_duplicates("doc_id")
@@ -159,14 +172,16 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per input row: doc_id, n_shingles, component_id, kept (doc_id = component_id). Links are pairs of percent / 100 or more;
     candidates need at least floor equal minima."""
     sk = cut(sketches(docs, id_col, text_col), "minhash-sketch")
-    known = sk.where("cls is not null and doc_id is not null")
-    rep = known.groupBy("cls").agg(F.min("doc_id").alias("rep"))
-    member = known.join(rep, "cls").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    known = sk.where("cls is not null and doc_id is not null").select("doc_id", "cls")
+    rep = cut(known.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "minhash-classes")
+    member = salted_join(known, rep.where("n > 1"), ["cls"], "doc_id").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     # one row per class: that of its smallest id
-    reps = known.join(rep, "cls").where("doc_id = rep").dropDuplicates(["cls"])
-    entries = cut(reps.select(F.col("doc_id"), F.posexplode("bands").alias("band", "key")), "minhash-entries")
-    buckets = entries.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("doc_id").alias("centre")).where("n > 1")
-    full = cut(entries.join(buckets, ["band", "key"]), "minhash-buckets")
+    reps = sk.select("doc_id", "cls", "sig").join(rep.select("cls", F.col("rep").alias("doc_id")), ["cls", "doc_id"]).dropDuplicates(["cls", "doc_id"])
+    reps = cut(reps.drop("cls"), "minhash-reps")
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("sig", b * (4 * ROWS) + 1, F.lit(4 * ROWS))))
+    entries = cut(reps.select("doc_id", F.posexplode(bands).alias("band", "key")), "minhash-entries")
+    buckets = cut(entries.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("doc_id").alias("centre")).where("n > 1"), "minhash-counts")
+    full = cut(salted_join(entries, buckets, ["band", "key"], "doc_id"), "minhash-buckets")
 
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
@@ -178,9 +193,9 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return cut(text.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary"), "minhash-sets").dropDuplicates(["doc_id", "shingles"])
 
     # signature verification of bucket members against the bucket's centre
-    pairs = full.where("doc_id <> centre").select("centre", "doc_id").distinct()
-    sigs = reps.select("doc_id", "sig")
-    both = pairs.join(sigs.withColumnRenamed("sig", "s"), "doc_id").join(sigs.select(F.col("doc_id").alias("centre"), F.col("sig").alias("c")), "centre")
+    pairs = cut(full.where("doc_id <> centre").select("centre", "doc_id").distinct().join(reps.select("doc_id", F.col("sig").alias("s")), "doc_id"), "minhash-stars")
+    centres = pairs.groupBy("centre").agg(F.count("*").alias("n")).join(reps.select(F.col("doc_id").alias("centre"), F.col("sig").alias("c")), "centre")
+    both = salted_join(pairs, cut(centres, "minhash-centres"), ["centre"], "doc_id")
     near = cut(both.where(agreement("s", "c") >= floor).select("centre", "doc_id"), "minhash-pairs")
 
     spread = near.groupBy("centre").agg(F.count("*").alias("n"))
@@ -191,18 +206,20 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     edges = cut(grouped.join(sets, "doc_id").groupBy("centre", "cell").applyInPandas(lambda pdf: _confirm_star(pdf, percent), "a long, b long"), "minhash-links")
     first = components(edges)
 
-    # buckets that still hold several components
-    label = full.join(first.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    parts = label.groupBy("band", "key", "component").agg(F.count("*").alias("m"))
-    open_ = parts.groupBy("band", "key").agg(F.count("*").alias("parts"), F.sum("m").alias("n"), F.max_by("component", F.struct("m", "component")).alias("main")).where("parts > 1 and n > 2")
-    left = label.select("band", "key", "doc_id", "component").join(open_, ["band", "key"])
+    # buckets that still hold several components, and which of them has most members
+    label = cut(full.select("band", "key", "doc_id").join(first.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "minhash-labels")
+    mark = [F.sum(F.xxhash64("doc_id", F.lit(i)).cast("decimal(20,0)")).alias(f"mark{i}") for i in (0, 1)]
+    parts = label.groupBy("band", "key", "component").agg(F.count("*").alias("m"), *mark)
+    main = F.max(F.struct("m", "component"))
+    open_ = parts.groupBy("band", "key").agg(F.count("*").alias("parts"), F.sum("m").alias("n"), main["component"].alias("main"), main["m"].alias("in"), F.sum("mark0").alias("mark0"), F.sum("mark1").alias("mark1")).where("parts > 1 and n > 2")
     # the same members often share several buckets: one of them is enough
-    same = left.groupBy("band", "key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("x"), F.sum(F.xxhash64("doc_id", F.lit(1)).cast("decimal(20,0)")).alias("y"))
-    one = same.groupBy("n", "x", "y").agg(F.min(F.struct("band", "key")).alias("b")).select("b.band", "b.key")
-    left = cut(left.join(one, ["band", "key"], "left_semi"), "minhash-open")
-    blocks = _blocks(left)
-    sets2 = with_sets(left.select("doc_id"))
-    more = blocks.join(sets2, "doc_id").groupBy("band", "key", "i", "j").applyInPandas(lambda pdf: _confirm_block(pdf, percent), "a long, b long")
+    one = open_.groupBy("n", "mark0", "mark1").agg(F.min(F.struct("band", "key", "main", "in")).alias("b")).select("n", "b.*")
+    left = cut(salted_join(label, cut(one, "minhash-open-buckets"), ["band", "key"], "doc_id"), "minhash-open")
+    blocks = _blocks(left).join(reps.select("doc_id", "sig"), "doc_id")
+    likely = blocks.groupBy("band", "key", "i", "j").applyInPandas(lambda pdf: _likely(pdf, floor), "band int, key long, i int, j int, doc_id long, component long")
+    likely = cut(likely, "minhash-likely")
+    sets2 = with_sets(likely.select("doc_id"))
+    more = likely.join(sets2, "doc_id").groupBy("band", "key", "i", "j").applyInPandas(lambda pdf: _confirm_block(pdf, percent), "a long, b long")
     last = components(edges.union(more).union(member))
 
     out = sk.select("doc_id", "n_shingles").join(last.withColumnRenamed("id", "doc_id"), "doc_id", "left")
@@ -219,11 +236,9 @@ def agreement(a: str, b: str):
 def _blocks(left: DataFrame) -> DataFrame:
     """Block pairs (i, j) of open buckets: members outside the largest component (blocks 0 ... u-1) against each other and against that
     component's (blocks u ...). The largest component is never compared with itself."""
-    size = left.groupBy("band", "key").agg(F.count_if(F.col("component") != F.col("main")).alias("out"), F.count_if(F.col("component") == F.col("main")).alias("in"))
-    x = left.select("band", "key", "doc_id", "component", "main").join(size, ["band", "key"])
-    u, v = F.ceil(F.col("out") / BLOCK).cast("int"), F.ceil(F.col("in") / BLOCK).cast("int")
+    u, v = F.ceil((F.col("n") - F.col("in")) / BLOCK).cast("int"), F.ceil(F.col("in") / BLOCK).cast("int")
     own = F.when(F.col("component") != F.col("main"), F.pmod(F.xxhash64("doc_id"), u).cast("int")).otherwise(u + F.pmod(F.xxhash64("doc_id"), v).cast("int"))
-    x = x.select("band", "key", "doc_id", "component", own.alias("own"), u.alias("u"), v.alias("v"))
+    x = left.select("band", "key", "doc_id", "component", own.alias("own"), u.alias("u"), v.alias("v"))
     # a block outside meets every block once; one of the largest component meets those outside
     others = F.when(F.col("own") < F.col("u"), F.sequence(F.lit(0), F.col("u") + F.col("v") - 1)).otherwise(F.sequence(F.lit(0), F.col("u") - 1))
     x = x.select("band", "key", "doc_id", "component", "own", F.explode(others).alias("other"))
