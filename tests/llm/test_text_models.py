@@ -57,7 +57,7 @@ def neighbours(rows):
 
 @pytest.mark.parametrize("per_range", [1, 3, 1000])
 def test_spotsigs_against_brute_force(make, odd, per_range):
-    got = sorted(map(tuple, spotsigs.fingerprints(make(odd), per_range=per_range).collect()), key=str)
+    got = sorted(map(tuple, spotsigs.fingerprints(make(odd), per_range=per_range).drop("class_id", "class_size").collect()), key=str)
     want = []
     for (i, t, _), (_, nxt, _) in neighbours(odd):
         t, nxt = t or "", nxt or ""
@@ -78,6 +78,7 @@ def test_spotsigs_chains_and_pruning():
     assert list(a) == list(b) and len(a) == 1
     assert len(spotsigs.signatures(["no anchors here except none"])[0]) and not len(spotsigs.signatures([""])[0])
     big, small = np.arange(100, dtype=np.uint32), np.arange(10, dtype=np.uint32)
+    assert spotsigs.jaccard(big, big[:85], least=0.8) == pytest.approx(0.85)
     assert spotsigs.jaccard(big, small) == pytest.approx(0.1) and spotsigs.jaccard(big, small, least=0.5) == 0.0
     for m in range(1, 200):
         for n in range(m, 200):
@@ -85,6 +86,56 @@ def test_spotsigs_chains_and_pruning():
                 assert abs(spotsigs.partition(m) - spotsigs.partition(n)) <= 1
 
 
+def brute_spots(text):
+    """Signatures as tuples of words, told from the definition."""
+    import re
+
+    words = [w.decode("utf-8", "ignore") for w in re.findall(rb"[A-Za-z0-9\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))]
+    common = set(spotsigs.COMMON)
+    content = [i for i, w in enumerate(words) if w not in common]
+    out = set()
+    for i, w in enumerate(words):
+        after = [j for j in content if j > i][: spotsigs.CHAIN]
+        if w in common and len(after) == spotsigs.CHAIN:
+            out.add((w, *(words[j] for j in after)))
+    return out or {tuple(words[i : i + 1 + spotsigs.CHAIN]) for i in range(len(words))}
+
+
+def test_spotsigs_near_copies_against_brute_force(make, odd):
+    rng = random.Random(12)
+    vocabulary = ["the", "of", "and", "to", "in", "is", *(f"w{i}" for i in range(60))]
+    rows = list(odd)
+    for g in range(25):  # copies at all distances, of different lengths, and texts that share a passage only
+        words = [rng.choice(vocabulary) for _ in range(rng.randrange(6, 160))]
+        for k in range(6):
+            rows.append((100 + 10 * g + k, " ".join(words), "s"))
+            words = list(words)
+            for _ in range(rng.randrange(4)):
+                words.insert(rng.randrange(len(words)), rng.choice(vocabulary)) if rng.random() < 0.5 else words.__setitem__(rng.randrange(len(words)), f"x{rng.randrange(999)}")
+    shared = " ".join(rng.choice(vocabulary) for _ in range(40))
+    rows += [(1000 + i, shared + " " + " ".join(rng.choice(vocabulary) + str(rng.randrange(3)) for _ in range(80)), "s") for i in range(30)]
+    got = {}
+    for r in spotsigs.fingerprints(make(rows), per_range=50).collect():
+        got.setdefault(r["doc_id"], set()).add((r["class_id"], r["class_size"]))
+    sets = [(i, brute_spots(t)) for i, t, _ in rows]
+    parent = list(range(len(sets)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, (_, x) in enumerate(sets):
+        for b, (_, y) in enumerate(sets[:a]):
+            if x and y and 100 * len(x & y) >= 80 * len(x | y):
+                parent[root(a)] = root(b)
+    want = {}
+    for a, (i, x) in enumerate(sets):
+        members = [j for b, (j, _) in enumerate(sets) if root(b) == root(a)]
+        want.setdefault(i, set()).add((min((j for j in members if j is not None), default=None), len(members)) if x else (None, None))
+    assert got == want and sum(n > 1 for v in want.values() for _, n in v if n) > 60
+
+
 INSULTS = ["scoundrel", "blockhead", "numbskull", "rapscallion"]
 
 

@@ -129,11 +129,11 @@ def _likely(pdf: pd.DataFrame, floor: int) -> pd.DataFrame:
     return pdf.loc[stays, ["band", "key", "i", "j", "doc_id", "component"]]
 
 
-def _confirm_block(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+def confirm_block(pdf: pd.DataFrame, percent: int, kind: type = np.uint64) -> pd.DataFrame:
     """All members of one block against all of another (or of the same), between components; a spanning forest of what is linked."""
     pdf = pdf.drop_duplicates("doc_id")
     ids, comp = pdf["doc_id"].to_numpy(), pdf["component"].to_numpy()
-    sets = [np.frombuffer(s, dtype=np.uint64) for s in pdf["shingles"]]
+    sets = [np.frombuffer(s, dtype=kind) for s in pdf["shingles"]]
     size = np.array([len(s) for s in sets], dtype=np.int64)
     n = len(ids)
     row = np.repeat(np.arange(n), size)
@@ -206,20 +206,12 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     edges = cut(grouped.join(sets, "doc_id").groupBy("centre", "cell").applyInPandas(lambda pdf: _confirm_star(pdf, percent), "a long, b long"), "minhash-links")
     first = components(edges)
 
-    # buckets that still hold several components, and which of them has most members
-    label = cut(full.select("band", "key", "doc_id").join(first.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "minhash-labels")
-    mark = [F.sum(F.xxhash64("doc_id", F.lit(i)).cast("decimal(20,0)")).alias(f"mark{i}") for i in (0, 1)]
-    parts = label.groupBy("band", "key", "component").agg(F.count("*").alias("m"), *mark)
-    main = F.max(F.struct("m", "component"))
-    open_ = parts.groupBy("band", "key").agg(F.count("*").alias("parts"), F.sum("m").alias("n"), main["component"].alias("main"), main["m"].alias("in"), F.sum("mark0").alias("mark0"), F.sum("mark1").alias("mark1")).where("parts > 1 and n > 2")
-    # the same members often share several buckets: one of them is enough
-    one = open_.groupBy("n", "mark0", "mark1").agg(F.min(F.struct("band", "key", "main", "in")).alias("b")).select("n", "b.*")
-    left = cut(salted_join(label, cut(one, "minhash-open-buckets"), ["band", "key"], "doc_id"), "minhash-open")
-    blocks = _blocks(left).join(reps.select("doc_id", "sig"), "doc_id")
+    left = open_lists(full.select("band", "key", "doc_id"), first)
+    blocks = block_pairs(left).join(reps.select("doc_id", "sig"), "doc_id")
     likely = blocks.groupBy("band", "key", "i", "j").applyInPandas(lambda pdf: _likely(pdf, floor), "band int, key long, i int, j int, doc_id long, component long")
     likely = cut(likely, "minhash-likely")
     sets2 = with_sets(likely.select("doc_id"))
-    more = likely.join(sets2, "doc_id").groupBy("band", "key", "i", "j").applyInPandas(lambda pdf: _confirm_block(pdf, percent), "a long, b long")
+    more = likely.join(sets2, "doc_id").groupBy("band", "key", "i", "j").applyInPandas(lambda pdf: confirm_block(pdf, percent), "a long, b long")
     last = components(edges.union(more).union(member))
 
     out = sk.select("doc_id", "n_shingles").join(last.withColumnRenamed("id", "doc_id"), "doc_id", "left")
@@ -227,16 +219,29 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def open_lists(listed: DataFrame, first: DataFrame) -> DataFrame:
+    """Of distinct rows (band, key, doc_id) those of lists whose members are in several components (id, component), with component, and of the
+    list n, main (the component with most members) and in (how many)."""
+    label = cut(listed.join(first.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "minhash-labels")
+    mark = [F.sum(F.xxhash64("doc_id", F.lit(i)).cast("decimal(20,0)")).alias(f"mark{i}") for i in (0, 1)]
+    parts = label.groupBy("band", "key", "component").agg(F.count("*").alias("m"), *mark)
+    main = F.max(F.struct("m", "component"))
+    open_ = parts.groupBy("band", "key").agg(F.count("*").alias("parts"), F.sum("m").alias("n"), main["component"].alias("main"), main["m"].alias("in"), F.sum("mark0").alias("mark0"), F.sum("mark1").alias("mark1")).where("parts > 1 and n > 2")
+    # the same members often share several buckets: one of them is enough
+    one = open_.groupBy("n", "mark0", "mark1").agg(F.min(F.struct("band", "key", "main", "in")).alias("b")).select("n", "b.*")
+    return cut(salted_join(label, cut(one, "minhash-open-buckets"), ["band", "key"], "doc_id"), "minhash-open")
+
+
 def agreement(a: str, b: str):
     """Number of equal minima of two signatures (4 bytes each)."""
     at = F.sequence(F.lit(0), F.lit(PERMUTATIONS - 1))
     return F.size(F.filter(at, lambda i: F.substring(F.col(a), i * 4 + 1, F.lit(4)) == F.substring(F.col(b), i * 4 + 1, F.lit(4))))
 
 
-def _blocks(left: DataFrame) -> DataFrame:
+def block_pairs(left: DataFrame, size: int = BLOCK) -> DataFrame:
     """Block pairs (i, j) of open buckets: members outside the largest component (blocks 0 ... u-1) against each other and against that
     component's (blocks u ...). The largest component is never compared with itself."""
-    u, v = F.ceil((F.col("n") - F.col("in")) / BLOCK).cast("int"), F.ceil(F.col("in") / BLOCK).cast("int")
+    u, v = F.ceil((F.col("n") - F.col("in")) / size).cast("int"), F.ceil(F.col("in") / size).cast("int")
     own = F.when(F.col("component") != F.col("main"), F.pmod(F.xxhash64("doc_id"), u).cast("int")).otherwise(u + F.pmod(F.xxhash64("doc_id"), v).cast("int"))
     x = left.select("band", "key", "doc_id", "component", own.alias("own"), u.alias("u"), v.alias("v"))
     # a block outside meets every block once; one of the largest component meets those outside

@@ -1,31 +1,43 @@
-"""SpotSigs fingerprints: chains of content words that follow common-word anchors.
+"""SpotSigs fingerprints: chains of content words that follow common-word anchors, and the texts that they show to be near copies.
 
 Each common word of a text is an anchor; with the CHAIN content words (words that aren't common) that follow it, it forms a
 spot signature. A fingerprint is the set of a text's signatures (32-bit hashes); the likeness of two is their Jaccard index.
-Sets are partitioned by length so that sets of likeness TAU or more fall into the same or neighbouring partitions, and a
-comparison is given up as soon as lengths rule out the likeness asked for.
+
+Near copies (near_classes): sets are partitioned by length so that sets of likeness TAU or more fall into the same or neighbouring
+partitions, and indexed there by their rarest signatures: two such sets share one of the first |s| - ceil(TAU |s|) + 1 of both, in any order
+of signatures. Rare ones come first by the counts of CELLS cells of hashes, over all sets. Each list of the index is compared with its
+smallest member, and where it then holds several components these are compared with each other, block by block. A comparison is given up
+as soon as lengths rule out the likeness asked for.
 
 Words are runs of ASCII letters and digits and of bytes beyond ASCII, with A-Z lower-cased. A text without a full chain takes
 every word as an anchor, with what follows it; so only a text without words has an empty fingerprint, and two such are alike.
 
-Neighbours in order of id come from one shuffle into ranges of ids; the first row of each range is also dealt to the range
-before it, so no row waits for another task and no task sees more than its range.
+Neighbours in order of id come from one shuffle into ranges of ids, of texts compressed one by one. Bounds are ids (with a hash of the text)
+of a sample of about SPREAD rows a range, picked by hash; they shape the ranges and not the result. The row at each bound is also dealt to the
+next range, whose last row it follows, so no row waits for another task and no task sees more than its range.
 
 Cases: a null text is an empty one. The document after the last is the first; a single document is its own neighbour. Rows of
-equal ids stand in order of their texts; null ids come last. Other columns are not looked at.
+equal ids stand in order of a hash of their texts; null ids come last. Rows that are alike in id and text share a range. Texts without words
+are near copies of nothing. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+import xxhash
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_of
+from .common import cut, salted_join, text_of
+from .components import components
+from .minhash_dedup import block_pairs, confirm_block, open_lists
 from .shingles import mix, word_hashes
 
 # fixed values: common words of English, German, French and Spanish
@@ -35,10 +47,12 @@ COMMON = (
     "au aux avec ce ces dans de des du elle en est et il ils je la le les mais ne nous on ou par pas pour qui que sa se ses son sont sur un une vous "
     "al como con del el ella en es esta fue ha la las lo los más no o para pero por que se sin sobre su sus un una y"
 ).split()
-#: Content words of a chain; the likeness that partitions by length are made for.
-CHAIN, TAU = 2, 0.5
-#: Documents of a range of ids, about; most ranges.
-RANGE, MOST_RANGES = 1024, 50_000
+#: Content words of a chain; the likeness of near copies, which partitions by length are made for.
+CHAIN, TAU = 2, 0.8
+#: Documents of a range of ids, about; most ranges; rows sampled for each.
+RANGE, MOST_RANGES, SPREAD = 1024, 20_000, 20
+#: Cells of hashes by whose counts signatures are ordered; members of a block, about, when a list is compared between components.
+CELLS, BLOCK = 1 << 16, 256
 
 _U = np.uint64
 _split = np.ones(256, dtype=bool)
@@ -90,7 +104,7 @@ def signatures(texts: list[str]) -> list[np.ndarray]:
 
 def partition(size: int, tau: float = TAU) -> int:
     """Sets of likeness tau or more are in the same or neighbouring partitions."""
-    return int(np.floor(np.log(size) / -np.log(tau))) + 1 if size else 0
+    return int(np.floor(np.log(size) / -np.log(tau) + 1e-9)) + 1 if size else 0
 
 
 def jaccard(a: np.ndarray, b: np.ndarray, least: float = 0.0, tau: float = TAU) -> float:
@@ -115,81 +129,209 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
+def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = text_of(F.col(text_col))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
+
+
+def _parts(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about half a megabyte of text each."""
+    at, size = 0, 0
+    for i, n in enumerate(pc.binary_length(batch.column(text)).to_pylist()):
+        size += n or 0
+        if size > 1 << 19:
+            yield batch.slice(at, i + 1 - at)
+            at, size = i + 1, 0
+    if at < batch.num_rows:
+        yield batch.slice(at)
+
+
+def fingerprint_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, row (hash of the text), size, cls (a number for the set, of 64 bits; null for the empty one), sigs (signatures, 4 bytes each)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("size", pa.int32()), ("cls", pa.int64()), ("sigs", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _parts(batch, 2):
+                sets = signatures(part.column(2).to_pylist())
+                cls = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int32()), pa.array(cls, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
+
+    return _base(docs, id_col, text_col).mapInArrow(run, "doc_id long, row long, size int, cls long, sigs binary")
+
+
+def _cells(sigs: np.ndarray) -> np.ndarray:
+    return (sigs.astype(np.uint32) * np.uint32(2654435769) >> np.uint32(16)).astype(np.int64) % CELLS
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(CELLS, dtype=np.int64)
+    for batch in batches:
+        for s in batch.column(0).to_pylist():
+            total += np.bincount(_cells(np.frombuffer(s, dtype=np.uint32)), minlength=CELLS) if len(s) > CELLS else 0
+            if len(s) <= CELLS:
+                np.add.at(total, _cells(np.frombuffer(s, dtype=np.uint32)), 1)
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["cell", "n"])
+
+
+def first_signatures(sigs: np.ndarray, common: np.ndarray, tau: float) -> np.ndarray:
+    """Those under which a set is looked for: the rarest, as many as two sets of likeness tau can't all miss."""
+    n = len(sigs) - int(np.ceil(tau * len(sigs) - 1e-9)) + 1
+    return sigs[np.lexsort((sigs, common[_cells(sigs)]))[:n]]
+
+
+def near_classes(rows: DataFrame, percent: int = round(100 * TAU)) -> DataFrame:
+    """(cls, component): classes of equal fingerprints that have near copies, of percent or more, and the smallest class that can be reached
+    from them. rows as of fingerprint_rows, cut to a table."""
+    tau = percent / 100
+    classes = cut(rows.where("size > 0").select(F.col("cls").alias("doc_id"), "size", "sigs").dropDuplicates(["doc_id"]), "spot-classes")
+    counted = classes.select("sigs").mapInArrow(_counts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    common = np.zeros(CELLS, dtype=np.int64)
+    common[counted.column("cell").to_numpy()] = counted.column("n").to_numpy()
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [np.frombuffer(s, dtype=np.uint32) for s in part.column(2).to_pylist()]
+                keys = [first_signatures(s, common, tau) for s in sets]
+                many = [len(k) for k in keys]
+                size = np.repeat(part.column(1).to_numpy(), many)
+                own = np.repeat(np.array([partition(len(s), tau) for s in sets], dtype=np.int32), many)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), many)), pa.array(size), pa.array(own), pa.array(np.concatenate(keys).astype(np.int64))], names=["doc_id", "size", "own", "key"])
+
+    entries = classes.select("doc_id", "size", "sigs").mapInArrow(listed, "doc_id long, size int, own int, key long")
+    shared = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    entries = cut(entries.join(shared.select("key"), "key", "left_semi"), "spot-entries")
+    # a set is listed in its own partition and in the next one, so neighbouring partitions meet
+    lists = entries.select("doc_id", "size", "key", F.explode(F.array("own", F.col("own") + 1)).alias("band"))
+    centres = lists.groupBy("band", "key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "size")).alias("c")).where("n > 1")
+    full = cut(salted_join(cut(lists, "spot-lists"), cut(centres, "spot-centres"), ["band", "key"], "doc_id"), "spot-full")
+    alike = F.least("size", "c.size") >= F.greatest("size", "c.size") * tau - 1e-9
+    pairs = cut(full.where((F.col("doc_id") != F.col("c.doc_id")) & alike).select(F.col("c.doc_id").alias("centre"), "doc_id").distinct(), "spot-pairs")
+    sets = classes.select("doc_id", "sigs")
+    mine = pairs.groupBy("centre").agg(F.count("*").alias("n")).join(sets.select(F.col("doc_id").alias("centre"), F.col("sigs").alias("of_centre")), "centre")
+    both = salted_join(pairs, cut(mine, "spot-stars"), ["centre"], "doc_id").join(sets, "doc_id")
+
+    def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (batch.column(i).to_pylist() for i in (2, 3))
+            fits = [jaccard(np.frombuffer(x, dtype=np.uint32), np.frombuffer(y, dtype=np.uint32), tau, tau) >= tau - 1e-12 for x, y in zip(a, b, strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(fits, pa.bool_()))
+
+    edges = cut(both.select(F.col("centre").alias("a"), F.col("doc_id").alias("b"), "of_centre", "sigs").mapInArrow(confirmed, "a long, b long"), "spot-links")
+    left = open_lists(full.select("band", "key", "doc_id"), components(edges))
+    blocks = block_pairs(left, BLOCK).join(sets.withColumnRenamed("sigs", "shingles"), "doc_id")
+    more = blocks.groupBy("band", "key", "i", "j").applyInPandas(lambda pdf: confirm_block(pdf, percent, np.uint32), "a long, b long")
+    return components(edges.union(more)).withColumnRenamed("id", "cls")
+
+
+def near_documents(rows: DataFrame, percent: int = round(100 * TAU)) -> DataFrame:
+    """(cls, class_id, class_size): for each class of equal fingerprints the smallest id of all documents that are linked to it, and their number."""
+    near = near_classes(rows, percent)
+    own = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    own = cut(own.join(near, "cls", "left").withColumn("component", F.coalesce("component", "cls")), "spot-own")
+    whole = own.groupBy("component").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
+    return cut(own.select("cls", "component").join(whole, "component").select("cls", "class_id", "class_size"), "spot-near")
+
+
+#: Kinds of rows of a range: what is known of a row's near copies, just before it, the row, and behind all rows the guest.
+NEAR, OWN, GUEST = 0, 1, 2
+COLUMNS = "range int, kind int, doc_id long, row long, packed binary, class_id long, class_size long"
+
+
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (range, guest, doc_id, text) sorted by range, then as documents follow each other; guests only lend their text."""
-    held = None  # the last row: (range, guest, doc_id, text)
+    """Rows (range, kind, doc_id, row, packed, class_id, class_size) sorted by range, then as documents follow each other; guests only lend their text."""
+    held = None  # the last text: (range, kind, doc_id, text, class_id, class_size)
+    unpack = zstandard.ZstdDecompressor().decompress
 
     def emit(rows: list[tuple]) -> pa.RecordBatch:
-        own = signatures([t for _, t, _ in rows])
-        new = signatures([edited(t, nxt) for _, t, nxt in rows])
+        own = signatures([t for _, t, _, _, _ in rows])
+        new = signatures([edited(t, nxt) for _, t, nxt, _, _ in rows])
         nexts = [*own[1:], None]
-        for i, (_, _, nxt) in enumerate(rows):  # the next row's own fingerprint, where that is the next document
+        for i, (_, _, nxt, _, _) in enumerate(rows):  # the next row's own fingerprint, where that is the next document
             if i + 1 >= len(rows) or rows[i + 1][1] is not nxt:
                 nexts[i] = signatures([nxt])[0]
         cols = [
-            pa.array([d for d, _, _ in rows], pa.int64()), pa.array([len(t) for _, t, _ in rows], pa.int64()),
-            pa.array([hashlib.sha256(edited(t, nxt).encode("utf-8", "surrogatepass")).hexdigest() for _, t, nxt in rows]),
+            pa.array([r[0] for r in rows], pa.int64()), pa.array([len(r[1]) for r in rows], pa.int64()),
+            pa.array([hashlib.sha256(edited(r[1], r[2]).encode("utf-8", "surrogatepass")).hexdigest() for r in rows]),
             pa.array([_hex(s) for s in own]), pa.array([_hex(s) for s in new]),
             pa.array([jaccard(a, b) for a, b in zip(own, new, strict=True)], pa.float64()), pa.array([jaccard(a, b) for a, b in zip(own, nexts, strict=True)], pa.float64()),
+            pa.array([r[3] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.int64()),
         ]
-        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+        return pa.RecordBatch.from_arrays(cols, names=NAMES)
 
-    rows, size = [], 0
+    rows, size, known = [], 0, None
     for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            if held is not None and held[0] == row[0] and not held[1]:
-                rows.append((held[2], held[3], row[3]))
+        for range_, kind, doc, row, packed, cls, n in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+            if kind == NEAR:
+                known = (doc, row, cls, n)
+                continue
+            text = unpack(packed).decode("utf-8", "surrogatepass")
+            if held is not None and held[0] == range_ and held[1] == OWN:
+                rows.append((held[2], held[3], text, *held[4:]))
                 size += len(held[3])
                 if size > 1 << 19:
                     yield emit(rows)
                     rows, size = [], 0
-            held = row
+            # of several guests, rows of equal id and text, the first counts, as it is no row of its own that the others could follow
+            held = (range_, kind, doc, text, *(known[2:] if known and known[:2] == (doc, row) else (None, None)))
     if rows:
         yield emit(rows)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_range: int = RANGE) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next; one row per input row."""
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(F.col(text_col)).alias("text"))
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    n, largest = base.select(key.alias("k")).agg(F.count("*"), F.max("k")).first()
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    if not n:
-        return docs.sparkSession.createDataFrame([], schema)
-    ranges = max(2, min(MOST_RANGES, -(-n // per_range)))
-    # bounds are ids that occur; which ones doesn't change the result. One row: an array of at most MOST_RANGES ids
-    quantiles = base.select(key.alias("k")).agg(F.percentile_approx("k", [i / ranges for i in range(1, ranges)], 20 * ranges).alias("q"))
-    cuts = cut(quantiles.select(F.array_sort(F.array_distinct(F.filter("q", lambda b: b < largest))).alias("cuts")), "spot-ranges")
-    # range i holds ids in (cuts[i-1], cuts[i]]
-    own = _below("cuts", F.col("k"), ranges.bit_length() + 1)
-    dealt = base.withColumn("k", key).crossJoin(F.broadcast(cuts)).withColumn("own", own)
-    # the largest id of range i lends its text to range i + 1, whose last row it follows; the largest of all to the first
-    lend = F.when(F.col("k") == largest, F.lit(0)).when(F.col("k") == F.get("cuts", F.col("own")), F.col("own") + 1)
-    to = F.array(F.struct(F.col("own").alias("range"), F.lit(False).alias("guest")), F.struct(lend.alias("range"), F.lit(True).alias("guest")))
-    spread = dealt.select("k", "doc_id", "text", F.explode(F.filter(to, lambda x: x["range"].isNotNull())).alias("to")).select("to.range", "to.guest", "k", "doc_id", "text")
-    spread = spread.repartition("range").sortWithinPartitions(F.col("range"), F.col("guest"), F.col("k").desc(), F.col("text"))
-    return spread.select("range", "guest", "doc_id", "text").mapInArrow(_first_guest, "range int, guest boolean, doc_id long, text string").mapInArrow(_pairs, schema)
-
-
-def _below(cuts: str, k: Column, steps: int) -> Column:
-    """How many of the sorted cuts are below k, by halving."""
-    zero = F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi"))
-
-    def step(acc: Column, _: Column) -> Column:
-        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
-        halved = F.when(F.get(cuts, mid) < k, F.struct((mid + 1).alias("lo"), acc["hi"].alias("hi"))).otherwise(F.struct(acc["lo"].alias("lo"), mid.alias("hi")))
-        return F.when(acc["lo"] < acc["hi"], halved).otherwise(acc)
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), zero, step, lambda acc: acc["lo"])
-
-
-def _first_guest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of several guests of a range (rows of equal ids) the first."""
-    seen = None
-    for batch in batches:
-        keep = []
-        for r, g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            keep.append(not g or r != seen)
-            if g:
-                seen = r
-        yield batch.filter(pa.array(keep, pa.bool_()))
+SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id long, class_size long"
+NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_range: int = RANGE, percent: int = round(100 * TAU)) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, class_id (smallest id of the document's near
+    copies, through links of percent or more; its own if there are none, null without words), class_size; one row per input row."""
+    spark = docs.sparkSession
+    known = cut(fingerprint_rows(docs, id_col, text_col), "spot-rows")
+    total = known.count()
+    if not total:
+        return spark.createDataFrame([], SCHEMA)
+    place = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k"), "row")
+    ranges = max(2, min(MOST_RANGES, -(-total // per_range)))
+    picked = known.select(place.alias("p")).where(F.pmod(F.xxhash64("p.k", "p.row", F.lit(7)), F.lit(max(1, total // (SPREAD * ranges)))) == 0)
+    sample = sorted(set(zip(*(picked.select("p.k", "p.row").toArrow().column(c).to_pylist() for c in ("k", "row")), strict=True)))
+    top = known.agg(F.max(place).alias("m")).first()["m"]
+    largest = (top["k"], top["row"])
+    # range i holds places in (cuts[i-1], cuts[i]]
+    cuts = sorted({sample[i * len(sample) // ranges] for i in range(1, ranges) if sample} - {largest})
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The largest place of range i lends its text to range i + 1, whose last row it follows; the largest of all to the first."""
+        pack = zstandard.ZstdCompressor(level=3, write_content_size=True).compress
+        lent = set()
+        for batch in batches:
+            for part in _parts(batch, 2):
+                out = []
+                for doc, row, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                    at = (-(1 << 63) if doc is None else doc, row)
+                    own = bisect.bisect_left(cuts, at)
+                    packed = pack(text.encode("utf-8", "surrogatepass"))
+                    out.append((own, OWN, doc, row, packed, None, None))
+                    to = 0 if at == largest else own + 1 if own < len(cuts) and cuts[own] == at else None
+                    if to is not None and to not in lent:
+                        lent.add(to)
+                        out.append((to, GUEST, doc, row, packed, None, None))
+                cols = list(zip(*out, strict=True))
+                types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[c.split()[0] for c in COLUMNS.split(", ")])
+
+    def deal_near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True)
+            to = pa.array([bisect.bisect_left(cuts, (-(1 << 63) if d is None else d, r)) for d, r in at], pa.int32())
+            none = pa.nulls(batch.num_rows, pa.binary())
+            yield pa.RecordBatch.from_arrays([to, pa.array([NEAR] * batch.num_rows, pa.int32()), batch.column(0), batch.column(1), none, batch.column(2), batch.column(3)], names=[c.split()[0] for c in COLUMNS.split(", ")])
+
+    near = near_documents(known, percent)
+    near = known.select("doc_id", "row", "cls").where("cls is not null").join(near, "cls").select("doc_id", "row", "class_id", "class_size")
+    spread = _base(docs, id_col, text_col).mapInArrow(deal, COLUMNS).unionByName(near.mapInArrow(deal_near, COLUMNS))
+    order = [F.col("range"), F.col("kind") == GUEST, F.coalesce("doc_id", F.lit(-(1 << 63))).desc(), F.col("row").desc(), F.col("kind")]
+    spread = spread.repartition("range").sortWithinPartitions(*order)
+    return spread.mapInArrow(_pairs, SCHEMA)
