@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +76,43 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread: str,
     return left.join(small.withColumn(salt, F.explode(every)), [*keys, salt]).drop(salt)
 
 
+def by_group(df: DataFrame, keys: list[str], run: Callable[[dict[str, list]], list[tuple]], schema: str) -> DataFrame:
+    """Rows that run returns for each group of df, as a dict of columns. As applyInPandas, but groups come out of sorted Arrow batches, one in
+    memory at a time, so that many small groups cost little each. Keys aren't null."""
+    names, kinds = df.columns, [x.split() for x in schema.split(", ")]
+    types = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+    out = pa.schema([(n, types[t]) for n, t in kinds])
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key, rows = [], None, []
+
+        def done() -> list[tuple]:
+            return run({n: [v for part in held for v in part.column(i).to_pylist()] for i, n in enumerate(names)})
+
+        for batch in batches:
+            columns = [batch.column(names.index(k)).to_numpy(zero_copy_only=False) for k in keys]
+            changes = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1 if batch.num_rows else []
+            bounds = [0, *changes, batch.num_rows]
+            for a, b in zip(bounds, bounds[1:], strict=False):
+                if a == b:
+                    continue
+                own = tuple(c[a] for c in columns)
+                if held and own != key:
+                    rows += done()
+                    held = []
+                    if len(rows) > 10_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), out.types, strict=True)], schema=out)
+                        rows = []
+                held.append(batch.slice(a, b - a))
+                key = own
+        if held:
+            rows += done()
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), out.types, strict=True)], schema=out)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(go, schema)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Removes a folder of the shared store through Hadoop's file system."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -23,13 +23,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free_names, salted_join
+from .common import by_group, cut, free_names, salted_join
 from .components import components
 from .shingles import shingle_sets
 
@@ -104,36 +103,45 @@ def _linked(inter, a, b, percent: int):
     return 100 * inter >= percent * (a + b - inter)
 
 
-def _confirm_star(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Members of a group against its centre, on full sets."""
-    sets = [np.frombuffer(s, dtype=np.uint64) for s in pdf["shingles"]]
-    ids = pdf["doc_id"].to_numpy()
-    centre = int(pdf["centre"].iloc[0])
-    at = int(np.flatnonzero(ids == centre)[0])
-    mine = sets[at]
-    out = [int(d) for d, s in zip(ids, sets, strict=True) if d != centre and _linked(len(np.intersect1d(mine, s, assume_unique=True)), len(mine), len(s), percent)]
-    return pd.DataFrame({"a": np.full(len(out), centre, dtype="int64"), "b": np.array(out, dtype="int64")})
+def _confirm_star(group: dict[str, list], percent: int) -> list[tuple]:
+    """Members of a group against its centre, on full sets; an id may have several."""
+    sets = [(d, np.frombuffer(s, dtype=np.uint64)) for d, s in zip(group["doc_id"], group["shingles"], strict=True)]
+    centre = group["centre"][0]
+    mine = [s for d, s in sets if d == centre]
+    return [(centre, d) for d, s in sets if d != centre and any(_linked(len(np.intersect1d(m, s, assume_unique=True)), len(m), len(s), percent) for m in mine)]
 
 
-def _likely(pdf: pd.DataFrame, floor: int) -> pd.DataFrame:
+def members(group: dict[str, list], *wanted: str) -> tuple:
+    """The ids of a group, their components and the wanted columns; an id has a row for each of its sets."""
+    return np.array(group["doc_id"], dtype=np.int64), np.array(group["component"], dtype=np.int64), *(group[c] for c in wanted)
+
+
+def survivors(group: dict[str, list], ids: np.ndarray, comp: np.ndarray, stays: np.ndarray) -> list[tuple]:
+    """Rows (band, key, i, j, doc_id, component) of the members of a pair of blocks that stay."""
+    head = tuple(group[c][0] for c in ("band", "key", "i", "j"))
+    return sorted({(*head, int(ids[k]), int(comp[k])) for k in np.flatnonzero(stays)})
+
+
+SURVIVORS = "band int, key long, i int, j int, doc_id long, component long"
+
+
+def _likely(group: dict[str, list], floor: int) -> list[tuple]:
     """The members of a pair of blocks that have at least floor equal minima with a member of another component."""
-    pdf = pdf.drop_duplicates("doc_id")
-    comp = pdf["component"].to_numpy()
-    sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint32).reshape(len(pdf), PERMUTATIONS)
-    stays = np.zeros(len(pdf), dtype=bool)
-    for lo in range(0, len(pdf), 256):
-        equal = np.zeros((len(pdf[lo : lo + 256]), len(pdf)), dtype=np.uint8)
+    ids, comp, sigs = members(group, "sig")
+    sig = np.frombuffer(b"".join(sigs), dtype=np.uint32).reshape(len(ids), PERMUTATIONS)
+    stays = np.zeros(len(ids), dtype=bool)
+    for lo in range(0, len(ids), 256):
+        equal = np.zeros((len(ids[lo : lo + 256]), len(ids)), dtype=np.uint8)
         for i in range(PERMUTATIONS):
             equal += sig[lo : lo + 256, i, None] == sig[None, :, i]
         stays[lo : lo + 256] = ((equal >= floor) & (comp[lo : lo + 256, None] != comp[None, :])).any(axis=1)
-    return pdf.loc[stays, ["band", "key", "i", "j", "doc_id", "component"]]
+    return survivors(group, ids, comp, stays)
 
 
-def confirm_block(pdf: pd.DataFrame, percent: int, kind: type = np.uint64) -> pd.DataFrame:
+def confirm_block(group: dict[str, list], percent: int, kind: type = np.uint64) -> list[tuple]:
     """All members of one block against all of another (or of the same), between components; a spanning forest of what is linked."""
-    pdf = pdf.drop_duplicates("doc_id")
-    ids, comp = pdf["doc_id"].to_numpy(), pdf["component"].to_numpy()
-    sets = [np.frombuffer(s, dtype=kind) for s in pdf["shingles"]]
+    ids, comp, texts = members(group, "shingles")
+    sets = [np.frombuffer(s, dtype=kind) for s in texts]
     size = np.array([len(s) for s in sets], dtype=np.int64)
     n = len(ids)
     row = np.repeat(np.arange(n), size)
@@ -165,7 +173,7 @@ def confirm_block(pdf: pd.DataFrame, percent: int, kind: type = np.uint64) -> pd
         if p != q:
             parent[p] = q
             out.append((int(ids[i]), int(ids[j])))
-    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+    return out
 
 
 def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, floor: int = SIGNATURE_FLOOR) -> DataFrame:
@@ -203,15 +211,15 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     stars = near.join(spread, "centre").select("centre", cell.alias("cell"), "doc_id")
     grouped = stars.union(stars.select("centre", "cell", F.col("centre").alias("doc_id")).distinct())
     sets = with_sets(near.select("doc_id").union(near.select("centre")))
-    edges = cut(grouped.join(sets, "doc_id").groupBy("centre", "cell").applyInPandas(lambda pdf: _confirm_star(pdf, percent), "a long, b long"), "minhash-links")
+    edges = cut(by_group(grouped.join(sets, "doc_id"), ["centre", "cell"], lambda g: _confirm_star(g, percent), "a long, b long"), "minhash-links")
     first = components(edges)
 
     left = open_lists(full.select("band", "key", "doc_id"), first)
     blocks = block_pairs(left).join(reps.select("doc_id", "sig"), "doc_id")
-    likely = blocks.groupBy("band", "key", "i", "j").applyInPandas(lambda pdf: _likely(pdf, floor), "band int, key long, i int, j int, doc_id long, component long")
-    likely = cut(likely, "minhash-likely")
+    pair = ["band", "key", "i", "j"]
+    likely = cut(by_group(blocks, pair, lambda g: _likely(g, floor), SURVIVORS), "minhash-likely")
     sets2 = with_sets(likely.select("doc_id"))
-    more = likely.join(sets2, "doc_id").groupBy("band", "key", "i", "j").applyInPandas(lambda pdf: confirm_block(pdf, percent), "a long, b long")
+    more = by_group(likely.join(sets2, "doc_id"), pair, lambda g: confirm_block(g, percent), "a long, b long")
     last = components(edges.union(more).union(member))
 
     out = sk.select("doc_id", "n_shingles").join(last.withColumnRenamed("id", "doc_id"), "doc_id", "left")

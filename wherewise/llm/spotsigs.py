@@ -7,7 +7,7 @@ Near copies (near_classes): sets are partitioned by length so that sets of liken
 partitions, and indexed there by their rarest signatures: two such sets share one of the first |s| - ceil(TAU |s|) + 1 of both, in any order
 of signatures. Rare ones come first by the counts of CELLS cells of hashes, over all sets. Each list of the index is compared with its
 smallest member, and where it then holds several components these are compared with each other, block by block. A comparison is given up
-as soon as lengths rule out the likeness asked for.
+as soon as lengths, or the parities of the sets' hashes, rule out the likeness asked for.
 
 Words are runs of ASCII letters and digits and of bytes beyond ASCII, with A-Z lower-cased. A text without a full chain takes
 every word as an anchor, with what follows it; so only a text without words has an empty fingerprint, and two such are alike.
@@ -35,9 +35,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, salted_join, text_of
+from .common import by_group, cut, salted_join, text_of
 from .components import components
-from .minhash_dedup import block_pairs, confirm_block, open_lists
+from .minhash_dedup import SURVIVORS, block_pairs, confirm_block, members, open_lists, survivors
 from .shingles import mix, word_hashes
 
 # fixed values: common words of English, German, French and Spanish
@@ -147,17 +147,43 @@ def _parts(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
 
 
 def fingerprint_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, row (hash of the text), size, cls (a number for the set, of 64 bits; null for the empty one), sigs (signatures, 4 bytes each)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("size", pa.int32()), ("cls", pa.int64()), ("sigs", pa.binary())])
+    """doc_id, row (hash of the text), size, cls (a number for the set, of 64 bits; null for the empty one), bits (see parity), sigs (signatures, 4 bytes each)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("size", pa.int32()), ("cls", pa.int64()), ("bits", pa.binary()), ("sigs", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _parts(batch, 2):
                 sets = signatures(part.column(2).to_pylist())
                 cls = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int32()), pa.array(cls, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int32()), pa.array(cls, pa.int64()), pa.array([parity(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
 
-    return _base(docs, id_col, text_col).mapInArrow(run, "doc_id long, row long, size int, cls long, sigs binary")
+    return _base(docs, id_col, text_col).mapInArrow(run, "doc_id long, row long, size int, cls long, bits binary, sigs binary")
+
+
+def parity(sigs: np.ndarray) -> bytes:
+    """For each class of hashes whether the set has an odd number of them; at least 64 bits, and two a signature. Two sets differ in at least as
+    many signatures as their parities differ in bits, which rules out most unlike pairs and no like ones."""
+    bits = max(64, 1 << (2 * len(sigs) - 1).bit_length()) if len(sigs) else 64
+    return np.packbits(np.bincount(sigs.astype(np.int64) % bits, minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def _likely(group: dict[str, list], tau: float) -> list[tuple]:
+    """The members of a pair of blocks that lengths and parities don't keep from a likeness of tau with a member of another component."""
+    ids, comp, size, bits = members(group, "size", "bits")
+    least = min(map(len, bits)) // 8
+    folded = [np.bitwise_xor.reduce(np.frombuffer(b, dtype=np.uint64).reshape(-1, least), axis=0) for b in bits]
+    words, size = np.array(folded), np.array(size, dtype=np.int64)
+    stays = np.zeros(len(ids), dtype=bool)
+    for lo in range(0, len(ids), 64):
+        hi = lo + 64
+        differ = np.zeros((len(ids[lo:hi]), len(ids)), dtype=np.int64)
+        for w in range(least):
+            differ += np.bitwise_count(words[lo:hi, w, None] ^ words[None, :, w])
+        n, m = size[lo:hi, None], size[None, :]
+        # |x ^ y| = |x| + |y| - 2 overlap, and a likeness of tau needs an overlap of tau / (1 + tau) (|x| + |y|)
+        fits = (differ * (1 + tau) <= (n + m) * (1 - tau) + 1e-6) & (np.minimum(n, m) >= tau * np.maximum(n, m) - 1e-9)
+        stays[lo:hi] = (fits & (comp[lo:hi, None] != comp[None, :])).any(axis=1)
+    return survivors(group, ids, comp, stays)
 
 
 def _cells(sigs: np.ndarray) -> np.ndarray:
@@ -185,7 +211,7 @@ def near_classes(rows: DataFrame, percent: int = round(100 * TAU)) -> DataFrame:
     """(cls, component): classes of equal fingerprints that have near copies, of percent or more, and the smallest class that can be reached
     from them. rows as of fingerprint_rows, cut to a table."""
     tau = percent / 100
-    classes = cut(rows.where("size > 0").select(F.col("cls").alias("doc_id"), "size", "sigs").dropDuplicates(["doc_id"]), "spot-classes")
+    classes = cut(rows.where("size > 0").select(F.col("cls").alias("doc_id"), "size", "bits", "sigs").dropDuplicates(["doc_id"]), "spot-classes")
     counted = classes.select("sigs").mapInArrow(_counts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     common = np.zeros(CELLS, dtype=np.int64)
     common[counted.column("cell").to_numpy()] = counted.column("n").to_numpy()
@@ -222,8 +248,10 @@ def near_classes(rows: DataFrame, percent: int = round(100 * TAU)) -> DataFrame:
 
     edges = cut(both.select(F.col("centre").alias("a"), F.col("doc_id").alias("b"), "of_centre", "sigs").mapInArrow(confirmed, "a long, b long"), "spot-links")
     left = open_lists(full.select("band", "key", "doc_id"), components(edges))
-    blocks = block_pairs(left, BLOCK).join(sets.withColumnRenamed("sigs", "shingles"), "doc_id")
-    more = blocks.groupBy("band", "key", "i", "j").applyInPandas(lambda pdf: confirm_block(pdf, percent, np.uint32), "a long, b long")
+    pair = ["band", "key", "i", "j"]
+    blocks = block_pairs(left, BLOCK).join(classes.select("doc_id", "size", "bits"), "doc_id")
+    likely = cut(by_group(blocks, pair, lambda g: _likely(g, tau), SURVIVORS), "spot-likely")
+    more = by_group(likely.join(sets.withColumnRenamed("sigs", "shingles"), "doc_id"), pair, lambda g: confirm_block(g, percent, np.uint32), "a long, b long")
     return components(edges.union(more)).withColumnRenamed("id", "cls")
 
 
