@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -53,13 +54,32 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/wherewise/{tag}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Ends the lineage of df in a table in the shared folder, so that a lost executor costs one stage and not the whole plan."""
+#: Tables that cut() wrote inside scratch() blocks that are open.
+_scratch: list[list[str]] = []
+
+
+def cut(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
+    """Ends the lineage of df in a table in the shared folder, so that a lost executor costs one stage and not the whole plan. Inside a
+    scratch() block the table lasts as long as the block, unless it is to be kept."""
     path = fresh_path(df.sparkSession, tag)
     df.write.parquet(path)
+    if _scratch and not keep:
+        _scratch[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are cut inside go when the block ends, and with them the shuffle files of plans that nothing refers to any more."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            drop_path(spark, path)
+        spark._jvm.System.gc()
+
+
 #: A key is hot with more than one in HOT_SHARE of all rows (and HOT_LEAST of them); its rows are then dealt to SALTS tasks.
 HOT_SHARE, HOT_LEAST, SALTS = 500, 100, 32
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_group, cut, free_names, salted_join
+from .common import by_group, cut, free_names, salted_join, scratch
 from .components import components
 from .shingles import shingle_sets
 
@@ -176,9 +176,7 @@ def confirm_block(group: dict[str, list], percent: int, kind: type = np.uint64)
     return out
 
 
-def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, floor: int = SIGNATURE_FLOOR) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept (doc_id = component_id). Links are pairs of percent / 100 or more;
-    candidates need at least floor equal minima."""
+def _components(docs: DataFrame, id_col: str, text_col: str, percent: int, floor: int) -> DataFrame:
     sk = cut(sketches(docs, id_col, text_col), "minhash-sketch")
     known = sk.where("cls is not null and doc_id is not null").select("doc_id", "cls")
     rep = cut(known.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "minhash-classes")
@@ -227,6 +225,13 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, floor: int = SIGNATURE_FLOOR) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept (doc_id = component_id). Links are pairs of percent / 100 or more;
+    candidates need at least floor equal minima."""
+    with scratch(docs.sparkSession):
+        return cut(_components(docs, id_col, text_col, percent, floor), "minhash-components", keep=True)
+
+
 def open_lists(listed: DataFrame, first: DataFrame) -> DataFrame:
     """Of distinct rows (band, key, doc_id) those of lists whose members are in several components (id, component), with component, and of the
     list n, main (the component with most members) and in (how many)."""

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_group, cut, salted_join, text_of
+from .common import by_group, cut, salted_join, scratch, text_of
 from .components import components
 from .minhash_dedup import SURVIVORS, block_pairs, confirm_block, members, open_lists, survivors
 from .shingles import mix, word_hashes
@@ -317,7 +317,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, class_id (smallest id of the document's near
     copies, through links of percent or more; its own if there are none, null without words), class_size; one row per input row."""
     spark = docs.sparkSession
-    known = cut(fingerprint_rows(docs, id_col, text_col), "spot-rows")
+    with scratch(spark):
+        rows = cut(fingerprint_rows(docs, id_col, text_col), "spot-rows")
+        near = rows.select("doc_id", "row", "cls").join(near_documents(rows, percent), "cls", "left")
+        known = cut(near.select("doc_id", "row", "class_id", "class_size"), "spot-known", keep=True)
     total = known.count()
     if not total:
         return spark.createDataFrame([], SCHEMA)
@@ -357,9 +360,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             none = pa.nulls(batch.num_rows, pa.binary())
             yield pa.RecordBatch.from_arrays([to, pa.array([NEAR] * batch.num_rows, pa.int32()), batch.column(0), batch.column(1), none, batch.column(2), batch.column(3)], names=[c.split()[0] for c in COLUMNS.split(", ")])
 
-    near = near_documents(known, percent)
-    near = known.select("doc_id", "row", "cls").where("cls is not null").join(near, "cls").select("doc_id", "row", "class_id", "class_size")
-    spread = _base(docs, id_col, text_col).mapInArrow(deal, COLUMNS).unionByName(near.mapInArrow(deal_near, COLUMNS))
+    spread = _base(docs, id_col, text_col).mapInArrow(deal, COLUMNS).unionByName(known.where("class_size is not null").mapInArrow(deal_near, COLUMNS))
     order = [F.col("range"), F.col("kind") == GUEST, F.coalesce("doc_id", F.lit(-(1 << 63))).desc(), F.col("row").desc(), F.col("kind")]
     spread = spread.repartition("range").sortWithinPartitions(*order)
     return spread.mapInArrow(_pairs, SCHEMA)
