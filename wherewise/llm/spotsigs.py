@@ -53,6 +53,8 @@ CHAIN, TAU = 2, 0.8
 RANGE, MOST_RANGES, SPREAD = 1024, 20_000, 20
 #: Cells of hashes by whose counts signatures are ordered; members of a block, about, when a list is compared between components.
 CELLS, BLOCK = 1 << 16, 256
+#: Keys that are broadcast at most.
+BROADCAST_KEYS = 1_000_000
 
 _U = np.uint64
 _split = np.ones(256, dtype=bool)
@@ -207,6 +209,11 @@ def first_signatures(sigs: np.ndarray, common: np.ndarray, tau: float) -> np.nda
     return sigs[np.lexsort((sigs, common[_cells(sigs)]))[:n]]
 
 
+def _small(keys: DataFrame) -> DataFrame:
+    """To be broadcast if there are at most BROADCAST_KEYS (8 bytes each); else joined by shuffle. A table, as it is counted."""
+    return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
+
+
 def near_classes(rows: DataFrame, percent: int = round(100 * TAU)) -> DataFrame:
     """(cls, component): classes of equal fingerprints that have near copies, of percent or more, and the smallest class that can be reached
     from them. rows as of fingerprint_rows, cut to a table."""
@@ -228,15 +235,20 @@ def near_classes(rows: DataFrame, percent: int = round(100 * TAU)) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), many)), pa.array(size), pa.array(own), pa.array(np.concatenate(keys).astype(np.int64))], names=["doc_id", "size", "own", "key"])
 
     entries = classes.select("doc_id", "size", "sigs").mapInArrow(listed, "doc_id long, size int, own int, key long")
-    shared = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    entries = cut(entries.join(shared.select("key"), "key", "left_semi"), "spot-entries")
+    shared = cut(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "spot-shared")
+    entries = cut(entries.join(_small(shared), "key", "left_semi"), "spot-entries")
     # a set is listed in its own partition and in the next one, so neighbouring partitions meet
     lists = entries.select("doc_id", "size", "key", F.explode(F.array("own", F.col("own") + 1)).alias("band"))
     centres = lists.groupBy("band", "key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "size")).alias("c")).where("n > 1")
     full = cut(salted_join(cut(lists, "spot-lists"), cut(centres, "spot-centres"), ["band", "key"], "doc_id"), "spot-full")
     alike = F.least("size", "c.size") >= F.greatest("size", "c.size") * tau - 1e-9
     pairs = cut(full.where((F.col("doc_id") != F.col("c.doc_id")) & alike).select(F.col("c.doc_id").alias("centre"), "doc_id").distinct(), "spot-pairs")
-    sets = classes.select("doc_id", "sigs")
+
+    def sets_of(ids: DataFrame, *columns: str) -> DataFrame:
+        """Of the given classes (doc_id) only; others aren't shuffled, while the ids are few enough to be broadcast."""
+        return classes.select("doc_id", *columns).join(_small(cut(ids.distinct(), "spot-ids")), "doc_id", "left_semi")
+
+    sets = cut(sets_of(pairs.select("doc_id").union(pairs.select("centre")), "sigs"), "spot-sets")
     mine = pairs.groupBy("centre").agg(F.count("*").alias("n")).join(sets.select(F.col("doc_id").alias("centre"), F.col("sigs").alias("of_centre")), "centre")
     both = salted_join(pairs, cut(mine, "spot-stars"), ["centre"], "doc_id").join(sets, "doc_id")
 
@@ -249,9 +261,9 @@ def near_classes(rows: DataFrame, percent: int = round(100 * TAU)) -> DataFrame:
     edges = cut(both.select(F.col("centre").alias("a"), F.col("doc_id").alias("b"), "of_centre", "sigs").mapInArrow(confirmed, "a long, b long"), "spot-links")
     left = open_lists(full.select("band", "key", "doc_id"), components(edges))
     pair = ["band", "key", "i", "j"]
-    blocks = block_pairs(left, BLOCK).join(classes.select("doc_id", "size", "bits"), "doc_id")
+    blocks = block_pairs(left, BLOCK).join(sets_of(left.select("doc_id"), "size", "bits"), "doc_id")
     likely = cut(by_group(blocks, pair, lambda g: _likely(g, tau), SURVIVORS), "spot-likely")
-    more = by_group(likely.join(sets.withColumnRenamed("sigs", "shingles"), "doc_id"), pair, lambda g: confirm_block(g, percent, np.uint32), "a long, b long")
+    more = by_group(likely.join(sets_of(likely.select("doc_id"), "sigs").withColumnRenamed("sigs", "shingles"), "doc_id"), pair, lambda g: confirm_block(g, percent, np.uint32), "a long, b long")
     return components(edges.union(more)).withColumnRenamed("id", "cls")
 
 
