@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import scratch
+
 
 def overlaps(masks: DataFrame) -> DataFrame:
     """gt_id, pred_id, n, iou of rows (vertex, gt_id, pred_id)."""
@@ -17,19 +23,22 @@ def overlaps(masks: DataFrame) -> DataFrame:
 
 
 def match(pairs: DataFrame) -> DataFrame:
-    """Greedy one-to-one matches by overlap; sequential within the instances of one scene."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["iou", "gt_id", "pred_id"], ascending=[False, True, True])
-        g, p, keep = set(), set(), []
-        for r in pdf.itertuples():
-            if r.gt_id not in g and r.pred_id not in p:
-                g.add(r.gt_id)
-                p.add(r.pred_id)
-                keep.append((r.gt_id, r.pred_id, r.iou))
-        return pd.DataFrame(keep, columns=["gt_id", "pred_id", "iou"])
-
-    return pairs.withColumn("scene", F.lit(0)).groupBy("scene").applyInPandas(run, "gt_id long, pred_id long, iou double")
+    """Greedy one-to-one matches by overlap, then by the smaller ids.
+
+    Pairs that are the best of both their instances are those that a greedy pass takes whatever comes before them. They are matched all at once,
+    pairs of matched instances go, and so on while pairs are left; rounds are few unless overlaps descend along a long chain.
+    """
+    spark, folder = pairs.sparkSession, scratch(pairs.sparkSession)
+    place = F.struct("iou", (-F.col("gt_id")).alias("g"), (-F.col("pred_id")).alias("p"))
+    pairs.select("gt_id", "pred_id", "iou").write.parquet(f"{folder}/left=0")
+    n = 0
+    while not (left := spark.read.parquet(f"{folder}/left={n}")).isEmpty():
+        best = lambda side: left.groupBy(side).agg(F.max(place).alias("b")).select((-F.col("b.g")).alias("gt_id"), (-F.col("b.p")).alias("pred_id"), "b.iou")  # noqa: B023, E731
+        best("gt_id").join(best("pred_id").select("gt_id", "pred_id"), ["gt_id", "pred_id"], "left_semi").write.parquet(f"{folder}/kept/round={n}")
+        kept = spark.read.parquet(f"{folder}/kept/round={n}")
+        left.join(kept.select("gt_id"), "gt_id", "left_anti").join(kept.select("pred_id"), "pred_id", "left_anti").write.parquet(f"{folder}/left={n + 1}")
+        n += 1
+    return spark.read.parquet(f"{folder}/kept").select("gt_id", "pred_id", "iou") if n else pairs.select("gt_id", "pred_id", "iou").where("false")
 
 
 def edges(masks: DataFrame) -> DataFrame:
@@ -81,13 +90,42 @@ def segment(points: DataFrame, k: float = 0.6, radius: float = 0.8) -> DataFrame
     return points.groupBy("scene_id").applyInPandas(run, "scene_id long, id long, pt_idx long, segment long")
 
 
-def classify(embeddings: DataFrame, temperature: float = 100.0) -> DataFrame:
-    """vec_id, label, prob: the most likely label; one vector per label stands for its text."""
-    first = embeddings.groupBy("label").agg(F.min("vec_id").alias("vec_id"))
-    texts = embeddings.join(first, ["label", "vec_id"]).select(F.col("label").cast("long").alias("label"), F.col("embedding").alias("t"))
-    dot = F.aggregate(F.zip_with("embedding", "t", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda acc, v: acc + v)
-    s = embeddings.select("vec_id", "embedding").join(texts).select("vec_id", "label", (dot * temperature).alias("logit"))
-    w = Window.partitionBy("vec_id")
-    p = s.withColumn("x", F.exp(F.col("logit") - F.max("logit").over(w)))
-    p = p.select("vec_id", "label", (F.col("x") / F.sum("x").over(w)).alias("prob"), F.row_number().over(w.orderBy(F.round("x", 12).desc(), "label")).alias("n"))
-    return p.where("n = 1").drop("n")
+def classify(embeddings: DataFrame, temperature: float = 100.0, labels: int = 2048) -> DataFrame:
+    """vec_id, label, prob: the most likely label; one vector per label stands for its text.
+
+    Vectors meet labels in blocks of about `labels`, as a matrix product; a vector leaves its largest logit, the sum of its exponentials and its
+    label in each block, from which the softmax over all labels follows. Vectors without numbers, or of another length than the labels', are left out.
+    """
+    known = embeddings.where("label is not null and embedding is not null")
+    first = known.groupBy("label").agg(F.min("vec_id").alias("vec_id"))
+    texts = known.join(first, ["label", "vec_id"]).select(F.col("label").cast("long").alias("label"), "embedding").dropDuplicates(["label"])
+    blocks = -(-first.count() // labels)
+    block = F.pmod(F.xxhash64("label"), F.lit(max(blocks, 1)))
+    parts = [_logits(embeddings, texts.where(block == b).orderBy("label").toArrow(), temperature) for b in range(blocks)]
+    found = functools.reduce(DataFrame.union, (p for p in parts if p is not None)) if blocks else embeddings.select("vec_id", F.lit(0.0).alias("top"), F.lit(0.0).alias("total"), F.lit(0).cast("long").alias("label")).where("false")
+    share = F.exp(F.col("top") - F.max("top").over(Window.partitionBy("vec_id")))
+    found = found.select("vec_id", "label", "total", share.alias("share"))
+    out = found.groupBy("vec_id").agg(F.min(F.struct((-F.round("share", 12)).alias("s"), "label", "share")).alias("b"), F.sum(F.col("share") * F.col("total")).alias("all"))
+    return out.select("vec_id", "b.label", (F.col("b.share") / F.col("all")).alias("prob"))
+
+
+def _logits(embeddings: DataFrame, texts: pa.Table, temperature: float) -> DataFrame | None:
+    """For each vector the largest logit of a block of labels, the sum of exponentials relative to it, and its label; None for an empty block."""
+    if not texts.num_rows:
+        return None
+    names = texts.column("label").to_numpy()
+    vectors = np.array(texts.column("embedding").to_pylist(), dtype=np.float64).T
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                own = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+                logits = own @ vectors * temperature
+                top = logits.max(axis=1)
+                x = np.exp(logits - top[:, None])
+                best = names[(np.round(x, 12) == 1.0).argmax(axis=1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(top), pa.array(x.sum(axis=1)), pa.array(best, pa.int64())], names=["vec_id", "top", "total", "label"])
+
+    rows = embeddings.where(F.size("embedding") == vectors.shape[0]).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    return rows.mapInArrow(run, "vec_id long, top double, total double, label long")

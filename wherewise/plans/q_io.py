@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import r9
 from ..operators import resolver
 from ..sources import files
+from ..sources.files import scratch
 from ..streaming import events as S
 from . import oracle as O
 from .catalog import query
@@ -19,12 +17,6 @@ from .q_bench import items
 from .q_resolver import _BEST, scored
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder in the store that executors share (spark.checkpoint.dir); of our own where that is unset, as in tests."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    return f"{base.rstrip('/')}/wherewise-io/{uuid.uuid4().hex}"
-
-
 @query("src_scene_cache", "SELECT scene_id, id, label, cx, hz FROM fx_objects")
 def src_scene_cache(x: Tables) -> DataFrame:
     """Scenes written by sink_scene_cache and read again."""
@@ -183,8 +175,7 @@ def ext_stream_sliding(x: Tables) -> DataFrame:
 
 @query("ext_stream_session", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL '30 minutes' OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS sid FROM g) SELECT min(ts) AS start, user_id, count(*) AS n FROM s GROUP BY user_id, sid")
 def ext_stream_session(x: Tables) -> DataFrame:
-    """Sessions of a batch of events; as a stream it emits a session when the watermark has passed it."""
-    return S.sessions(x.source("events"))
+    return S.run(S.sessions(S.stream(x.spark, x.sf_dir)))
 
 
 @query("ext_stream_latest", "SELECT user_id, arg_max(event_id, struct_pack(t := ts, e := event_id)) AS latest FROM events GROUP BY user_id")
@@ -192,6 +183,19 @@ def ext_stream_latest(x: Tables) -> DataFrame:
     return S.run(S.latest(S.stream(x.spark, x.sf_dir)))
 
 
+_NOON = "2024-01-16 12:00:00"
+
+
+@query("ext_stream_late", f"WITH e AS (SELECT ts, date_trunc('hour', ts) AS start, coalesce(event_type, '') <> 'click' AND ts <= TIMESTAMP '{_NOON}' AS early FROM events), m AS (SELECT max(ts) - INTERVAL '10 minutes' AS mark FROM e WHERE early) SELECT start, count(*) AS n FROM e, m WHERE ts IS NOT NULL AND (early OR mark IS NULL OR start + INTERVAL '1 hour' > mark) GROUP BY start")
+def ext_stream_late(x: Tables) -> DataFrame:
+    """Events in two arrivals: first what came before noon of a day, but for clicks; then the rest. Clicks of hours that the watermark has passed are dropped."""
+    e = x.source("events")
+    early = F.coalesce((F.coalesce("event_type", F.lit("")) != "click") & (F.col("ts") <= F.lit(_NOON).cast("timestamp_ntz")), F.lit(False))
+    hours = lambda events: S.timed(events).groupBy(F.window("ts", "1 hour")).agg(F.count("*").alias("n")).select(S.start_of("window"), "n")
+    updates = S.arrivals([e.where(early), e.where(~early)], hours)
+    return updates.groupBy("start").agg(F.max("n").alias("n"))
+
+
 # views ----------------------------------------------------------------------------------------------------------------------------
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import io
 import json
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +20,14 @@ SCHEMA_VERSION = 3
 ITEM = "id string, scene_id string, dataset string, text string, target_ids array<long>, ambiguous boolean, ambiguity_kind string, relation string, relation_type string, frame string, frame_stated_in_text boolean, viewpoint_mode string, viewpoint_index long, viewpoint_position array<double>, viewpoint_landmark string, difficulty string, annotator string, source string, notes string, schema_version int"
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the store that executors share (spark.checkpoint.dir); of our own only where that is unset and the master is local."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(base or 'file://' + tempfile.gettempdir()).rstrip('/')}/wherewise-io/{uuid.uuid4().hex}"
+
+
 def scene_key(dataset: Column, scene: Column, tag: Column | None = None) -> Column:
     return F.concat_ws("__", dataset, scene, *([] if tag is None else [F.when(tag != "", tag)]))
 
