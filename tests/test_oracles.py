@@ -14,7 +14,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 KEYS = [
     "rel_left", "rel_front", "rel_on", "rel_above", "rel_inside", "rel_near", "rel_next_to", "rel_far_from", "rel_taller", "rel_between", "rel_encloses", "obb_gap", "label_normalize", "label_match", "cue_extract", "query_parse", "phrase_parse", "ordinal_extract",
     "frames_build", "frame_decide", "pose_best_view", "ord_apply", "ord_middle", "superlative_rank", "room_walls", "room_forward", "eval_aggregate", "eval_attribution", "item_validate", "mask_iou", "front_estimate", "vlm_parse_reply", "src_answers_json",
-    "clip_classify", "ext_stream_tumbling", "ext_stream_sliding", "ext_stream_session", "ext_stream_latest", "ext_stream_late",
+    "resolve_every", "clip_classify", "ext_stream_tumbling", "ext_stream_sliding", "ext_stream_session", "ext_stream_latest", "ext_stream_late",
 ]
 
 

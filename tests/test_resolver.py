@@ -50,6 +50,18 @@ def test_a_scene_without_the_class_gives_no_row(spark, room):
     assert ask(spark, room, "the lamp to the left of the laptop") == {}
 
 
+def test_every_phrase_has_a_row(spark, room):
+    rows = [(0, "left", "mug", "laptop"), (1, "left", "mug", "helicopter"), (2, "on", "helicopter", "table"), (3, None, "mug", None), (4, None, "laptop", None), (5, "left", "laptop", "helicopter"), (6, None, None, None)]
+    q = spark.createDataFrame([(i, 0, r, "projective_lateral", t, a, 0.0, -5.0) for i, r, t, a in rows], "query_id long, scene_id long, relation string, relation_type string, target string, anchor string, eye_x double, eye_y double")
+    got = {r["query_id"]: r for r in resolver.every(q, *room).collect()}
+    assert [got[i]["target_id"] for i in range(7)] == [1, 1, None, 1, 4, 4, None]
+    assert [got[i]["no_candidate"] for i in range(7)] == [False, True, True, False, False, True, True]
+    assert [got[i]["weak_match"] for i in range(7)] == [False, True, False, False, False, True, False]
+    assert [got[i]["score_tie"] for i in range(7)] == [False, True, False, True, False, False, False]
+    assert (got[3]["score"], got[3]["second"], got[4]["second"], got[2]["score"]) == (1.0, 1.0, None, None)
+    assert resolver.every(q.where("false"), *room).collect() == []
+
+
 def test_outcomes_of_pairs(spark):
     rows = [((None, 1), (1, 2), "no_answer"), ((1, 1), (1, 2), "frame_blind"), ((1, 2), (1, 2), "switched_correctly"), ((2, 1), (1, 2), "switched_incorrectly"), ((1, 3), (1, 2), "partial")]
     df = spark.createDataFrame([(*g, *w, o) for g, w, o in rows], "ga int, gb int, wa int, wb int, want string")

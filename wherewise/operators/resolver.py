@@ -90,6 +90,26 @@ def resolve(queries: DataFrame, objects: DataFrame, rooms: DataFrame, frame: str
     return top.select("query_id", "scene_id", "relation", "relation_type", "target_id", "anchor_id", "score", "second", tie(F.col("score"), F.col("second")).alias("score_tie"), (F.col("score") < MIN_ANSWER).alias("weak_match"))
 
 
+def every(queries: DataFrame, objects: DataFrame, rooms: DataFrame, frame: str = "egocentric") -> DataFrame:
+    """query_id, scene_id, target_id, anchor_id, score, second, score_tie, weak_match, no_candidate: a row for every query.
+
+    Without the target's class in the scene there is no answer; without the anchor's, all candidates fail alike and the first by id stands, with a
+    weak score; both are flagged no_candidate. A query without a relation takes any object of its class. query_id is a key of queries.
+    """
+    classes = objects.groupBy("scene_id", "label").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    t, a = classes.withColumnRenamed("label", "target"), classes.select("scene_id", F.col("label").alias("anchor"), F.col("n").alias("anchors"))
+    found = resolve(queries, objects, rooms, frame).select("query_id", F.col("target_id").alias("found"), "anchor_id", F.col("score").alias("found_score"), F.col("second").alias("found_second"))
+    rows = queries.select("query_id", "scene_id", "relation", "target", "anchor").join(t, ["scene_id", "target"], "left").join(a, ["scene_id", "anchor"], "left").join(found, "query_id", "left")
+    alike = F.when(F.col("relation").isNull(), 1.0).when(F.col("anchors").isNull(), 1e-6)  # the score of all candidates
+    rows = rows.select(
+        "query_id", "scene_id", F.when(alike.isNull(), F.col("found")).otherwise(F.col("first")).alias("target_id"), "anchor_id",
+        F.when(F.col("n").isNotNull(), F.coalesce(alike, "found_score")).alias("score"), F.when(alike.isNull(), F.col("found_second")).when(F.col("n") > 1, alike).alias("second"),
+        (F.col("n").isNull() | (F.col("relation").isNotNull() & F.col("anchors").isNull())).alias("no_candidate"),
+    )
+    known = F.col("score").isNotNull()
+    return rows.withColumns({"score_tie": F.coalesce(known & tie(F.col("score"), F.col("second")), F.lit(False)), "weak_match": known & (F.col("score") < MIN_ANSWER)})
+
+
 #: Frames that are compared with each other.
 COMPARED_FRAMES = ("egocentric", "intrinsic", "addressee", "world")
 

@@ -92,6 +92,25 @@ def resolve_answers(x: Tables) -> DataFrame:
     return resolver.resolve(x.utterances, x.objects, x.rooms).where("(second is null or score - second > 1e-6) and score > 1e-6").select("query_id", "target_id")
 
 
+_ODD = "CASE WHEN query_id % 5 = 0 THEN 'helicopter' ELSE target END AS target, CASE WHEN query_id % 5 = 1 THEN 'helicopter' WHEN query_id % 5 <> 2 THEN anchor END AS anchor, CASE WHEN query_id % 5 <> 2 THEN relation END AS relation"
+
+
+@query(
+    "resolve_every",
+    f"WITH {scored()},{_BEST.rstrip()}, q AS (SELECT query_id, scene_id, {_ODD} FROM fx_utterances), l AS (SELECT scene_id, label, count(*) AS n FROM fx_objects GROUP BY scene_id, label), "
+    "v AS (SELECT q.query_id, t.n IS NULL OR (q.relation IS NOT NULL AND g.n IS NULL) AS no_candidate, CASE WHEN t.n IS NULL THEN NULL WHEN q.relation IS NULL THEN 1.0E0 WHEN g.n IS NULL THEN 1E-6 ELSE r.score END AS score, "
+    "CASE WHEN t.n IS NULL THEN NULL WHEN q.relation IS NULL THEN CASE WHEN t.n > 1 THEN 1.0E0 END WHEN g.n IS NULL THEN CASE WHEN t.n > 1 THEN 1E-6 END ELSE r.second END AS second "
+    "FROM q LEFT JOIN l t ON t.scene_id = q.scene_id AND t.label = q.target LEFT JOIN l g ON g.scene_id = q.scene_id AND g.label = q.anchor LEFT JOIN (SELECT * FROM r WHERE rank = 1) r ON r.query_id = q.query_id) "
+    f"SELECT query_id, no_candidate, {O.r9('score')} AS score, {O.r9('second')} AS second, {_FLAGS} AS score_tie, (score < 0.12E0) IS TRUE AS weak_match FROM v",
+)
+def resolve_every(x: Tables) -> DataFrame:
+    """A row for every phrase, some of which are asked for a class or an anchor that no scene has, or without a relation."""
+    m = F.col("query_id") % 5
+    odd = x.utterances.withColumns({"target": F.when(m == 0, "helicopter").otherwise(F.col("target")), "anchor": F.when(m == 1, "helicopter").when(m != 2, F.col("anchor")), "relation": F.when(m != 2, F.col("relation"))})
+    rows = resolver.every(odd, x.objects, x.rooms)
+    return rows.select("query_id", "no_candidate", r9(F.col("score")).alias("score"), r9(F.col("second")).alias("second"), "score_tie", "weak_match")
+
+
 for _k in ("intrinsic", "addressee", "world"):
 
     @query(f"resolve_{_k}", f"WITH {scored(_k)},{_BEST.rstrip()} SELECT query_id, {O.r9('score')} AS score, score < 0.12E0 AS no_answer FROM r WHERE rank = 1")
@@ -100,10 +119,14 @@ for _k in ("intrinsic", "addressee", "world"):
         return rows.select("query_id", r9(F.col("score")).alias("score"), F.col("weak_match").alias("no_answer"))
 
 
-@query("resolve_force_frame", None)
+_FORCED = ", ".join(f"f_{k} AS (WITH {scored(k)},{_BEST.rstrip()} SELECT query_id, relation_type, '{k}' AS kind, CASE WHEN score >= 0.12E0 AND (second IS NULL OR score - second > 1e-6) THEN t_id END AS answer, {O.r9('score')} AS score FROM r WHERE rank = 1)" for k in _AXES)
+
+
+@query("resolve_force_frame", f"WITH {_FORCED} {' UNION ALL '.join(f'SELECT * FROM f_{k}' for k in _AXES)}")
 def resolve_force_frame(x: Tables) -> DataFrame:
     """All four frames at once: the kind is a join key, so frames are rows of one plan and not runs of it."""
-    return resolver.under_frames(x.utterances, x.objects, x.rooms)
+    rows = resolver.under_frames(x.utterances, x.objects, x.rooms)
+    return rows.select("query_id", "relation_type", "kind", "answer", r9(F.col("score")).alias("score"))
 
 
 @query("amb_score_tie", f"WITH {scored()},{_BEST.rstrip()} SELECT relation, count(*) AS queries, CAST(count_if({_FLAGS}) AS BIGINT) AS tied FROM r WHERE rank = 1 GROUP BY relation")
