@@ -242,3 +242,21 @@ def test_permutations_and_draws():
     for _, c, b in parts:
         assert (b == before).all()
         before = before + c
+
+
+def test_parities_rule_out_no_near_copies():
+    draw = np.random.default_rng(5)
+    ruled_out = 0
+    for n in [1, 2, 5, 31, 32, 33, 64, 65, 130, 700]:
+        for _ in range(60):
+            a = np.unique(draw.integers(0, 1 << 32, n, dtype=np.uint32))
+            part = draw.random(len(a)) < draw.uniform(0.7, 1)
+            b = np.unique(np.concatenate([a[part], draw.integers(0, 1 << 32, draw.integers(0, n // 4 + 1), dtype=np.uint32)]))
+            if not len(b):
+                continue
+            differ = spotsigs.parity_distance(spotsigs.parity(a), spotsigs.parity(b))
+            assert differ <= len(np.setxor1d(a, b))
+            fits = bool(spotsigs.may_be_alike(np.int64(differ), np.int64(len(a)), np.int64(len(b)), 0.8))
+            assert fits or spotsigs.jaccard(a, b) < 0.8
+            ruled_out += not fits
+    assert ruled_out

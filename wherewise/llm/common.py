@@ -77,7 +77,12 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     finally:
         for path in _scratch.pop():
             drop_path(spark, path)
-        spark._jvm.System.gc()
+        release(spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets the shuffle files of plans that nothing refers to any more go now; they stay until the driver's JVM collects those plans."""
+    spark._jvm.System.gc()
 
 
 #: A key is hot with more than one in HOT_SHARE of all rows (and HOT_LEAST of them); its rows are then dealt to SALTS tasks.

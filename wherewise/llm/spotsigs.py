@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_group, cut, salted_join, scratch, text_of
+from .common import by_group, cut, release, salted_join, scratch, text_of
 from .components import components
 from .minhash_dedup import SURVIVORS, block_pairs, confirm_block, members, open_lists, survivors
 from .shingles import mix, word_hashes
@@ -169,6 +169,19 @@ def parity(sigs: np.ndarray) -> bytes:
     return np.packbits(np.bincount(sigs.astype(np.int64) % bits, minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
+def parity_distance(a: bytes, b: bytes) -> int:
+    """Bits in which two parities differ, the longer one folded to the length of the other."""
+    least = min(len(a), len(b)) // 8
+    x, y = (np.bitwise_xor.reduce(np.frombuffer(p, dtype=np.uint64).reshape(-1, least), axis=0) for p in (a, b))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def may_be_alike(differ: np.ndarray, n: np.ndarray, m: np.ndarray, tau: float) -> np.ndarray:
+    """Whether lengths n and m and `differ` unlike parities leave a likeness of tau possible."""
+    # |x ^ y| = |x| + |y| - 2 overlap, and a likeness of tau needs an overlap of tau / (1 + tau) (|x| + |y|)
+    return (differ * (1 + tau) <= (n + m) * (1 - tau) + 1e-6) & (np.minimum(n, m) >= tau * np.maximum(n, m) - 1e-9)
+
+
 def _likely(group: dict[str, list], tau: float) -> list[tuple]:
     """The members of a pair of blocks that lengths and parities don't keep from a likeness of tau with a member of another component."""
     ids, comp, size, bits = members(group, "size", "bits")
@@ -181,9 +194,7 @@ def _likely(group: dict[str, list], tau: float) -> list[tuple]:
         differ = np.zeros((len(ids[lo:hi]), len(ids)), dtype=np.int64)
         for w in range(least):
             differ += np.bitwise_count(words[lo:hi, w, None] ^ words[None, :, w])
-        n, m = size[lo:hi, None], size[None, :]
-        # |x ^ y| = |x| + |y| - 2 overlap, and a likeness of tau needs an overlap of tau / (1 + tau) (|x| + |y|)
-        fits = (differ * (1 + tau) <= (n + m) * (1 - tau) + 1e-6) & (np.minimum(n, m) >= tau * np.maximum(n, m) - 1e-9)
+        fits = may_be_alike(differ, size[lo:hi, None], size[None, :], tau)
         stays[lo:hi] = (fits & (comp[lo:hi, None] != comp[None, :])).any(axis=1)
     return survivors(group, ids, comp, stays)
 
@@ -217,7 +228,7 @@ def _small(keys: DataFrame) -> DataFrame:
 def near_classes(rows: DataFrame, percent: int = round(100 * TAU)) -> DataFrame:
     """(cls, component): classes of equal fingerprints that have near copies, of percent or more, and the smallest class that can be reached
     from them. rows as of fingerprint_rows, cut to a table."""
-    tau = percent / 100
+    tau, spark = percent / 100, rows.sparkSession
     classes = cut(rows.where("size > 0").select(F.col("cls").alias("doc_id"), "size", "bits", "sigs").dropDuplicates(["doc_id"]), "spot-classes")
     counted = classes.select("sigs").mapInArrow(_counts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     common = np.zeros(CELLS, dtype=np.int64)
@@ -243,14 +254,25 @@ def near_classes(rows: DataFrame, percent: int = round(100 * TAU)) -> DataFrame:
     full = cut(salted_join(cut(lists, "spot-lists"), cut(centres, "spot-centres"), ["band", "key"], "doc_id"), "spot-full")
     alike = F.least("size", "c.size") >= F.greatest("size", "c.size") * tau - 1e-9
     pairs = cut(full.where((F.col("doc_id") != F.col("c.doc_id")) & alike).select(F.col("c.doc_id").alias("centre"), "doc_id").distinct(), "spot-pairs")
+    release(spark)
 
     def sets_of(ids: DataFrame, *columns: str) -> DataFrame:
         """Of the given classes (doc_id) only; others aren't shuffled, while the ids are few enough to be broadcast."""
         return classes.select("doc_id", *columns).join(_small(cut(ids.distinct(), "spot-ids")), "doc_id", "left_semi")
 
-    sets = cut(sets_of(pairs.select("doc_id").union(pairs.select("centre")), "sigs"), "spot-sets")
-    mine = pairs.groupBy("centre").agg(F.count("*").alias("n")).join(sets.select(F.col("doc_id").alias("centre"), F.col("sigs").alias("of_centre")), "centre")
-    both = salted_join(pairs, cut(mine, "spot-stars"), ["centre"], "doc_id").join(sets, "doc_id")
+    def with_both(pairs: DataFrame, *columns: str) -> DataFrame:
+        """pairs (centre, doc_id; a table) with the given columns of the centre, c_ before their names, and of doc_id."""
+        held = cut(sets_of(pairs.select("doc_id").union(pairs.select("centre")), *columns), "spot-sets")
+        of_centre = held.select(F.col("doc_id").alias("centre"), *(F.col(c).alias(f"c_{c}") for c in columns))
+        mine = pairs.groupBy("centre").agg(F.count("*").alias("n")).join(of_centre, "centre")
+        both = salted_join(pairs, cut(mine, "spot-stars"), ["centre"], "doc_id").join(held, "doc_id")
+        return both.select("centre", "doc_id", *(f"c_{c}" for c in columns), *columns)
+
+    def fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, a, m, b = (batch.column(i).to_pylist() for i in range(2, 6))
+            differ = np.array([parity_distance(x, y) for x, y in zip(a, b, strict=True)], dtype=np.int64)
+            yield batch.select([0, 1]).filter(pa.array(may_be_alike(differ, np.array(n, dtype=np.int64), np.array(m, dtype=np.int64), tau), pa.bool_()))
 
     def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,7 +280,10 @@ def near_classes(rows: DataFrame, percent: int = round(100 * TAU)) -> DataFrame:
             fits = [jaccard(np.frombuffer(x, dtype=np.uint32), np.frombuffer(y, dtype=np.uint32), tau, tau) >= tau - 1e-12 for x, y in zip(a, b, strict=True)]
             yield batch.select([0, 1]).filter(pa.array(fits, pa.bool_()))
 
-    edges = cut(both.select(F.col("centre").alias("a"), F.col("doc_id").alias("b"), "of_centre", "sigs").mapInArrow(confirmed, "a long, b long"), "spot-links")
+    # parities, a tenth of a set, decide about most pairs; sets are sent for the rest only
+    near = cut(with_both(pairs, "size", "bits").mapInArrow(fitting, "centre long, doc_id long"), "spot-fitting")
+    edges = cut(with_both(near, "sigs").mapInArrow(confirmed, "centre long, doc_id long").toDF("a", "b"), "spot-links")
+    release(spark)
     left = open_lists(full.select("band", "key", "doc_id"), components(edges))
     pair = ["band", "key", "i", "j"]
     blocks = block_pairs(left, BLOCK).join(sets_of(left.select("doc_id"), "size", "bits"), "doc_id")
