@@ -156,3 +156,18 @@ def test_sweep_answers_as_every_pair_under_every_trial_does(spark):
     table = resolver._trials(20, 0.3, 0)
     assert table[0] == trials[0]
     assert resolver.sweep(q, x.objects, x.rooms).first()["baseline"] == sum(t == 0 for _, t in split) / n
+
+
+@pytest.mark.parametrize("name", ["rob_sweep", "rob_report"])
+def test_generated_code_of_the_sweep_compiles(spark, name):
+    from wherewise.plans.all_queries import QUERIES
+
+    strict = {"spark.sql.codegen.fallback": "false", "spark.sql.codegen.factoryMode": "CODEGEN_ONLY"}
+    for k, v in strict.items():
+        spark.conf.set(k, v)
+    try:  # without a fallback, code beyond 64 KB is an error
+        rows = QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+    finally:
+        for k in strict:
+            spark.conf.unset(k)
+    assert [r["line_no"] for r in rows] == [-1, 0, 1] if name == "rob_report" else 0 < rows[0]["least"] <= rows[0]["median"] <= rows[0]["most"] < 1
