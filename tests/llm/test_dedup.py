@@ -170,3 +170,37 @@ def test_lines_repeated_rows_and_odd_cases(make, odd):
     got = line_dedup.line_dedup(make(odd)).collect()
     assert len(got) == len(odd)
     assert all((r["text"] or "") == (t or "") for r, (_, t, _) in zip(sorted(got, key=lambda r: (str(r["doc_id"]), r["text"] or "")), sorted(odd, key=lambda x: (str(x[0]), x[1] or "")), strict=True) if r["removed_chunks"] == 0)
+
+
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_near_against_brute_force_with_filters_of_bits_and_with_broadcast_keys(make, odd, monkeypatch, most):
+    monkeypatch.setattr(minhash_dedup, "BROADCAST_IDS", most)
+    monkeypatch.setattr(minhash_dedup, "BROADCAST_BUCKETS", most)
+    rows = odd + near_rows()
+    got = minhash_dedup.minhash_components(make(rows)).collect()
+    assert sorted(map(tuple, got), key=str) == brute_near(rows)
+
+
+def test_a_pair_that_shares_several_buckets_is_compared_in_one():
+    import numpy as np
+
+    sig = np.arange(240, dtype=np.uint32).reshape(3, 80)
+    sig[1, :8], sig[1, 12:] = sig[0, :8], sig[0, 12:]  # alike but for band 2
+    sig[2, 4:8] = sig[0, 4:8]  # in the same bucket of band 1, but unlike
+    likely = lambda band: [r[4] for r in minhash_dedup._likely({"doc_id": [1, 2, 3], "component": [1, 2, 3], "sig": [x.tobytes() for x in sig], "band": [band] * 3, "key": [9] * 3, "i": [0] * 3, "j": [0] * 3}, 44)]
+    assert (likely(0), likely(1), likely(7)) == ([1, 2], [], [])
+    sig[1, :8] += 500  # now band 3 is the first that they share
+    assert (likely(0), likely(3), likely(4)) == ([1, 2], [1, 2], [])
+
+
+@pytest.mark.parametrize("most, words", [(50, 1 << 10), (0, 1 << 10), (0, 1)])
+def test_sift_keeps_all_that_is_wanted(spark, most, words):
+    from wherewise.llm.common import sift
+
+    df = spark.range(3000).selectExpr("cast(id % 7 as int) as band", "id as key", "'own' as word", "id as bits").union(spark.sql("select 1, null, 'own', 0"))
+    wanted = spark.range(0, 3000, 100).selectExpr("cast(id % 7 as int) as band", "id as key")
+    got = sift(df, wanted, ["band", "key"], most, words)
+    assert sorted(got.columns) == sorted(df.columns)
+    keys = [r.key for r in got.collect()]
+    assert set(range(0, 3000, 100)) <= set(keys) and len(keys) == len(set(keys)) and (words == 1 or len(keys) < (31 if most else 100))
+    assert sift(df, wanted.limit(0), ["band", "key"], most, words).count() == 0

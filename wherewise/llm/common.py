@@ -101,6 +101,23 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread: str,
     return left.join(small.withColumn(salt, F.explode(every)), [*keys, salt]).drop(salt)
 
 
+#: Words of 64 bits of the filter that stands for keys which are too many to be broadcast.
+FILTER_WORDS = 1 << 20
+
+
+def sift(df: DataFrame, wanted: DataFrame, keys: list[str], most: int, words: int = FILTER_WORDS) -> DataFrame:
+    """The rows of df whose keys are among the rows of wanted (a table of distinct keys), without a shuffle of df. Up to `most` keys are broadcast,
+    and the result is exact; beyond that a filter of bits of bounded size is, which lets through all such rows and few others."""
+    if wanted.limit(most + 1).count() <= most:
+        return df.join(F.broadcast(wanted), keys, "left_semi")
+    word, own, bits = free_names(df, "word", "own", "bits")
+    h = F.xxhash64(*keys)
+    one = lambda by: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, by).bitwiseAND(F.lit(63)).cast("int"))
+    at, three = F.pmod(h, F.lit(words)).cast("int"), one(40).bitwiseOR(one(47)).bitwiseOR(one(54))
+    known = wanted.select(at.alias(word), three.alias(bits)).groupBy(word).agg(F.bit_or(bits).alias(bits))
+    return df.withColumns({word: at, own: three}).join(F.broadcast(known), word).where(F.col(bits).bitwiseAND(F.col(own)) == F.col(own)).drop(word, own, bits)
+
+
 def by_group(df: DataFrame, keys: list[str], run: Callable[[dict[str, list]], list[tuple]], schema: str) -> DataFrame:
     """Rows that run returns for each group of df, as a dict of columns. As applyInPandas, but groups come out of sorted Arrow batches, one in
     memory at a time, so that many small groups cost little each. Keys aren't null."""

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_group, cut, free_names, salted_join, scratch
+from .common import by_group, cut, free_names, salted_join, scratch, sift
 from .components import components
 from .shingles import shingle_sets
 
@@ -41,8 +41,8 @@ PERCENT = 85
 SIGNATURE_FLOOR = 44
 #: Members of a block, about, in the exact comparison between components.
 BLOCK = 384
-#: Ids whose texts are read again are broadcast up to this many (8 bytes each), and beyond it joined by shuffle.
-BROADCAST_IDS = 1_000_000
+#: Ids whose texts or signatures are read again, and buckets of several documents, are broadcast up to so many, and beyond it a filter of bits.
+BROADCAST_IDS, BROADCAST_BUCKETS = 1_000_000, 500_000
 #: Links of a hot centre are confirmed in groups of about so many.
 GROUP = 256
 
@@ -126,15 +126,22 @@ SURVIVORS = "band int, key long, i int, j int, doc_id long, component long"
 
 
 def _likely(group: dict[str, list], floor: int) -> list[tuple]:
-    """The members of a pair of blocks that have at least floor equal minima with a member of another component."""
+    """The members of a pair of blocks that have at least floor equal minima with a member of another component and share no earlier band with
+    it: a pair that does meets there too (or is all of that bucket, and then it was compared with its centre), so it counts once."""
     ids, comp, sigs = members(group, "sig")
     sig = np.frombuffer(b"".join(sigs), dtype=np.uint32).reshape(len(ids), PERMUTATIONS)
     stays = np.zeros(len(ids), dtype=bool)
     for lo in range(0, len(ids), 256):
         equal = np.zeros((len(ids[lo : lo + 256]), len(ids)), dtype=np.uint8)
-        for i in range(PERMUTATIONS):
-            equal += sig[lo : lo + 256, i, None] == sig[None, :, i]
-        stays[lo : lo + 256] = ((equal >= floor) & (comp[lo : lo + 256, None] != comp[None, :])).any(axis=1)
+        earlier = np.zeros(equal.shape, dtype=bool)
+        for band in range(BANDS):
+            part = np.zeros_like(equal)
+            for i in range(band * ROWS, (band + 1) * ROWS):
+                part += sig[lo : lo + 256, i, None] == sig[None, :, i]
+            equal += part
+            if band < group["band"][0]:
+                earlier |= part == ROWS
+        stays[lo : lo + 256] = ((equal >= floor) & ~earlier & (comp[lo : lo + 256, None] != comp[None, :])).any(axis=1)
     return survivors(group, ids, comp, stays)
 
 
@@ -187,20 +194,24 @@ def _components(docs: DataFrame, id_col: str, text_col: str, percent: int, floor
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("sig", b * (4 * ROWS) + 1, F.lit(4 * ROWS))))
     entries = cut(reps.select("doc_id", F.posexplode(bands).alias("band", "key")), "minhash-entries")
     buckets = cut(entries.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("doc_id").alias("centre")).where("n > 1"), "minhash-counts")
-    full = cut(salted_join(entries, buckets, ["band", "key"], "doc_id"), "minhash-buckets")
+    # most keys are one document's; those entries, and the signatures of documents that share no bucket, are left where they are
+    shared = cut(sift(entries, buckets.select("band", "key"), ["band", "key"], BROADCAST_BUCKETS), "minhash-shared")
+    full = cut(salted_join(shared, buckets, ["band", "key"], "doc_id"), "minhash-buckets")
+    met = cut(full.select("doc_id").distinct(), "minhash-met")
+    sigs = cut(sift(reps, met, ["doc_id"], BROADCAST_IDS), "minhash-signatures")
 
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def with_sets(ids: DataFrame) -> DataFrame:
         """(doc_id, shingles) of the given class representatives; texts are read again, as shingles take more room than words."""
         ids = cut(ids.distinct(), "minhash-ids")
-        if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:  # then the texts need no shuffle
-            ids = F.broadcast(ids)
-        return cut(text.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary"), "minhash-sets").dropDuplicates(["doc_id", "shingles"])
+        sets = cut(sift(text, ids, ["doc_id"], BROADCAST_IDS).mapInArrow(_sets, "doc_id long, shingles binary"), "minhash-sets")
+        # one shuffle serves for repeated rows and for the join behind
+        return sets.repartition("doc_id").dropDuplicates(["doc_id", "shingles"])
 
     # signature verification of bucket members against the bucket's centre
-    pairs = cut(full.where("doc_id <> centre").select("centre", "doc_id").distinct().join(reps.select("doc_id", F.col("sig").alias("s")), "doc_id"), "minhash-stars")
-    centres = pairs.groupBy("centre").agg(F.count("*").alias("n")).join(reps.select(F.col("doc_id").alias("centre"), F.col("sig").alias("c")), "centre")
+    pairs = cut(full.where("doc_id <> centre").select("centre", "doc_id").distinct().join(sigs.select("doc_id", F.col("sig").alias("s")), "doc_id"), "minhash-stars")
+    centres = pairs.groupBy("centre").agg(F.count("*").alias("n")).join(sigs.select(F.col("doc_id").alias("centre"), F.col("sig").alias("c")), "centre")
     both = salted_join(pairs, cut(centres, "minhash-centres"), ["centre"], "doc_id")
     near = cut(both.where(agreement("s", "c") >= floor).select("centre", "doc_id"), "minhash-pairs")
 
@@ -213,7 +224,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, percent: int, floor
     first = components(edges)
 
     left = open_lists(full.select("band", "key", "doc_id"), first)
-    blocks = block_pairs(left).join(reps.select("doc_id", "sig"), "doc_id")
+    blocks = block_pairs(left).join(sigs.select("doc_id", "sig"), "doc_id")
     pair = ["band", "key", "i", "j"]
     likely = cut(by_group(blocks, pair, lambda g: _likely(g, floor), SURVIVORS), "minhash-likely")
     sets2 = with_sets(likely.select("doc_id"))
