@@ -171,3 +171,30 @@ def test_generated_code_of_the_sweep_compiles(spark, name):
         for k in strict:
             spark.conf.unset(k)
     assert [r["line_no"] for r in rows] == [-1, 0, 1] if name == "rob_report" else 0 < rows[0]["least"] <= rows[0]["median"] <= rows[0]["most"] < 1
+
+
+def test_questions_that_all_trials_answer_alike_are_not_crossed_with_trials(spark):
+    from wherewise.plans.fixtures import Tables
+
+    x = Tables(spark, "/root/testdata/sf0.001")
+    q = x.utterances.where("relation_type like 'projective%'")
+    trials = resolver._trials(20, 0.3, 0)
+    rows = resolver._answers(q, x.objects, x.rooms, trials).cache()
+    settled = {(r.question, r.kind): r.answer for r in rows.where("trial is null").collect()}
+    assert settled and None not in settled.values()
+    assert not {r.question for r in rows.where("trial is not null").collect()} & {i for i, _ in settled}
+    # the two settings at the ends, asked alone so that their bounds are their values, agree with what holds in all trials
+    ends = [(0, *(f(t[i] for t in trials) for i in (1, 2, 3))) for f in (min, max)]
+    for end in ends:
+        alone = {(r.question, r.kind): r.answer for r in resolver.trial_answers(q, x.objects, x.rooms, [end]).collect()}
+        assert settled == {k: alone.get(k) for k in settled}
+    spread = resolver.trial_answers(q, x.objects, x.rooms, trials).where("trial is not null")
+    n = spread.groupBy("question", "kind").count().collect()
+    assert {k: 21 for k in settled} == {(r.question, r.kind): r["count"] for r in n if (r.question, r.kind) in settled}
+
+
+def test_report_needs_no_tables_of_python_rows(spark):
+    from wherewise.plans.all_queries import QUERIES
+
+    plan = QUERIES["rob_report"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan

@@ -13,7 +13,8 @@ def table_lines(rows: DataFrame, columns: list[str], order: list[str]) -> DataFr
     show = [F.coalesce(F.when(F.lit(t) == "double", F.format_number(F.col(c).cast("double"), 3)).otherwise(F.col(c).cast("string")) if t == "double" else F.col(c).cast("string"), F.lit("-")) for c, t in rows.dtypes if c in columns]
     names = [c for c, _ in rows.dtypes if c in columns]
     body = rows.select(F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)).alias("n"), F.concat(F.lit("| "), F.concat_ws(" | ", *show), F.lit(" |")).alias("line"))
-    head = rows.sparkSession.createDataFrame([(-1, "| " + " | ".join(names) + " |"), (0, "|" + "-|" * len(names))], "n int, line string")
+    # literals, as a table made of Python rows starts Python on the executors
+    head = rows.sparkSession.range(0, 1, 1, 1).select(F.inline(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(v).alias("line")) for n, v in ((-1, "| " + " | ".join(names) + " |"), (0, "|" + "-|" * len(names)))])))
     return head.union(body).select(F.col("n").alias("line_no"), "line")
 
 
